@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import ngram_jaccard, substring_dedup
+from tessella.llm import decontamination, ngram_jaccard, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 13 words found in documents."""
+    return decontamination.digest(decontamination.contamination(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeated 50-word passages removed from all but the first document."""
     return substring_dedup.dedup_corpus(spark, _table(spark, sf_dir, "documents")).drop("kept")
@@ -21,5 +26,5 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op8_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op8_ngram_jaccard)}
 ORACLES = {}
