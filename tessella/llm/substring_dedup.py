@@ -2,8 +2,8 @@
 
 A document's windows are its runs of `width` consecutive words. Of each window one k-word
 fingerprint is kept, the least of those inside it (a minimiser), so equal windows have equal
-fingerprints while only about one word in twenty yields one. The index is a list of immutable
-runs of (fingerprint, document), each sorted by fingerprint; a new batch is merge-joined with
+fingerprints while only about one word in fourteen yields one. The index is a list of immutable
+runs of fingerprints and their documents' bounds, each sorted by fingerprint; a new batch is merge-joined with
 the runs, added as a run of its own, and runs of a level are compacted into one of the next.
 
 Fingerprints that two documents share are candidates. They are verified on the texts: every
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import words as W
 
-WIDTH, GRAM = 50, 10
+WIDTH, GRAM = 50, 25
 _LOW = np.uint64((1 << 28) - 1)
 
 
@@ -69,70 +70,72 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, doc_id) under one folder, and a manifest for each version.
+    """Sorted immutable runs of (fp, lo, hi), the smallest and largest document with each fingerprint, under
+    one folder, and a manifest for each version. Runs are tables bucketed and sorted by fp, one row for each
+    fingerprint, so probing and compaction are merge joins without a shuffle and no fingerprint is a large group.
 
     A crash between a run's write and its manifest leaves an unlisted run that nothing reads.
     """
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = 2):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fanout: int = 2):
         self.spark, self.path, self.fanout = spark, path, fanout
         self.version, self.runs = 0, []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         to = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
         if to.getFileSystem(spark._jsc.hadoopConfiguration()).exists(to):
-            last = spark.read.text(f"{path}/manifest/*").agg(F.max("value")).head()[0]
-            self.version, self.runs = int(last[:12]), json.loads(last[12:])
+            held = json.loads(spark.read.text(f"{path}/manifest/*").agg(F.max("value")).head()[0][12:])
+            self.version, self.buckets, self.runs = held["version"], held["buckets"], held["runs"]
+            for _, name in self.runs:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, lo BIGINT, hi BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{path}/{name}'")
 
     def _commit(self, runs: list[list]) -> None:
         self.version, self.runs = self.version + 1, runs
-        line = f"{self.version:012d}{json.dumps(runs)}"
+        line = f"{self.version:012d}{json.dumps({'version': self.version, 'buckets': self.buckets, 'runs': runs})}"
         self.spark.range(1).select(F.lit(line).alias("value")).write.text(f"{self.path}/manifest/{self.version:012d}")
 
-    def _write(self, postings: DataFrame, level: int) -> list:
-        name = f"run-{self.version + 1:012d}-{level}"
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        postings.repartition(parts, "fp", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("fp", "doc_id").write.parquet(f"{self.path}/{name}")
+    def _write(self, bounds: DataFrame, level: int) -> list:
+        name = f"run_{uuid.uuid4().hex}"
+        bounds.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").saveAsTable(name)
         return [level, name]
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema("fp long, doc_id long").parquet(f"{self.path}/{name}")
-
-    def postings(self) -> DataFrame:
-        """All runs, oldest first."""
-        out = self.spark.createDataFrame([], "fp long, doc_id long")
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            W.remove(self.spark, f"{self.path}/{name}")
+
+    def append(self, postings: DataFrame) -> DataFrame:
+        """Write a batch's postings as a run. Returns (fp): those of its fingerprints that two documents,
+        of the batch or of it and an earlier run, share."""
+        bounds = postings.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        run = self._write(bounds.repartition(self.buckets, "fp"), 0)
+        found = self.spark.table(run[1])
         for _, name in self.runs:
-            out = out.unionByName(self.read(name))
-        return out
-
-    def repeated(self, batch: DataFrame) -> DataFrame:
-        """(fp): the batch's fingerprints that another document, of the batch or of a run, has too."""
-        bounds = lambda df: df.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        found = bounds(batch)
-        if self.runs:
-            old = bounds(self.postings()).select("fp", F.col("lo").alias("lo_old"), F.col("hi").alias("hi_old")).hint("merge")
-            found = found.join(old, "fp", "left").select("fp", F.least("lo", "lo_old").alias("lo"), F.greatest("hi", "hi_old").alias("hi"))
-        return found.where("lo < hi").select("fp")
-
-    def append(self, batch: DataFrame) -> str:
-        """Add a batch's postings as a run; compact while a level holds `fanout` runs. Returns the run's name."""
-        run = self._write(batch, 0)
+            old = self.spark.table(name).select("fp", F.col("lo").alias("lo_old"), F.col("hi").alias("hi_old"))
+            found = found.join(old.hint("merge"), "fp", "left").select("fp", F.least("lo", "lo_old").alias("lo"), F.greatest("hi", "hi_old").alias("hi"))
         self._commit([*self.runs, run])
-        return run[1]
+        return found.where("lo < hi").select("fp")
 
     def compact(self) -> None:
-        """Merge the runs of each full level into one sorted run of the next, then drop the old ones."""
+        """While a level holds `fanout` runs, merge them into one of the next level and drop them."""
         level = 0
         while any(x[0] >= level for x in self.runs):
             full = [x for x in self.runs if x[0] == level]
             if len(full) >= self.fanout:
-                merged = self.read(full[0][1])
+                merged = self.spark.table(full[0][1])
                 for _, name in full[1:]:
-                    merged = merged.unionByName(self.read(name))
+                    more = self.spark.table(name).select("fp", F.col("lo").alias("lo_new"), F.col("hi").alias("hi_new"))
+                    merged = merged.join(more.hint("merge"), "fp", "full").select("fp", F.least("lo", "lo_new").alias("lo"), F.greatest("hi", "hi_new").alias("hi"))
                 run = self._write(merged, level + 1)
                 self._commit([*(x for x in self.runs if x not in full), run])
-                for _, name in full:
-                    W.remove(self.spark, f"{self.path}/{name}")
+                self._drop([name for _, name in full])
             level += 1
 
+    def drop(self) -> None:
+        """Delete the index."""
+        self._drop([name for _, name in self.runs])
+        self.runs = []
+        W.remove(self.spark, self.path)
+
 
 def _windows_at(live: DataFrame, width: int, gram: int, whole: bool) -> DataFrame:
     """For each run of windows that share a live fingerprint: (fp, cls, doc_id, tx, start, n), with `whole` also the window hashes."""
@@ -173,21 +176,26 @@ def _rank(n: np.ndarray) -> np.ndarray:
     return (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
 
 
-def repeats(docs: DataFrame, postings: DataFrame, live: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, live: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, found): the windows of each document that also start in a smaller one, as a list of
-    (tx, start, n, hits); tx tells texts under one doc_id apart, hits null means all n windows."""
+    (tx, start, n, hits); tx tells texts under one doc_id apart, hits null means all n windows.
+
+    live: the fingerprints that several documents share. Windows around one that is alike wherever it occurs
+    (one class) are settled by the class's smallest document; where there are more classes, one document of
+    each class hashes its windows singly."""
     texts = _keyed(docs).select("doc_id", F.xxhash64("text").alias("tx"), "text")
-    held = postings.join(live.hint("merge"), "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-    joined = texts.join(held.hint("merge"), "doc_id")
-    classes = _windows_at(joined, width, gram, True).groupBy("fp", "cls", "h").agg(F.min("doc_id").alias("lo"))
-    per_fp = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("k"))
-    classes = classes.join(per_fp.hint("merge"), "fp")
-    alone = classes.where("k = 1").select("fp", "cls", "lo", F.lit(None).cast("array<struct<at:int,lo:long>>").alias("each"))
-    apart = classes.where("k > 1").select("fp", "cls", "lo", F.posexplode("h").alias("at", "w"))
-    least = apart.groupBy("fp", "w").agg(F.min("lo").alias("least"))
-    apart = apart.join(least.hint("merge"), ["fp", "w"]).groupBy("fp", "cls").agg(F.min("least").alias("lo"), F.collect_list(F.struct("at", F.col("least").alias("lo"))).alias("each"))
-    known = alone.unionByName(apart)
-    mine = _windows_at(joined, width, gram, False).join(known.hint("merge"), ["fp", "cls"]).where("lo < doc_id")
+    held = fingerprints(docs, width, gram).join(live.hint("merge"), "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+    mine = _windows_at(texts.join(held.hint("merge"), "doc_id"), width, gram, False)
+    classes = mine.groupBy("fp", "cls").agg(F.min("doc_id").alias("lo"))
+    kinds = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"))
+    classes = classes.join(kinds.hint("merge"), "fp")
+    alone = classes.where("kinds = 1").select("fp", "cls", "lo", F.lit(None).cast("array<struct<at:int,lo:long>>").alias("each"))
+    first = classes.where("kinds > 1").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_set("fp").alias("fps"))
+    apart = _windows_at(texts.join(first.hint("merge"), "doc_id"), width, gram, True).select("fp", "cls", "doc_id", F.posexplode("h").alias("at", "w"))
+    least = apart.groupBy("fp", "w").agg(F.min("doc_id").alias("lo"))
+    apart = apart.select("fp", "w", "cls", "at").join(least.hint("merge"), ["fp", "w"])
+    apart = apart.groupBy("fp", "cls").agg(F.min("lo").alias("lo"), F.collect_set(F.struct("at", "lo")).alias("each"))
+    mine = mine.join(alone.unionByName(apart).hint("merge"), ["fp", "cls"]).where("lo < doc_id")
     hits = F.transform(F.filter("each", lambda x: x["lo"] < F.col("doc_id")), lambda x: x["at"])
     return mine.groupBy("doc_id").agg(F.collect_list(F.struct("tx", "start", "n", hits.alias("hits"))).alias("found"))
 
@@ -227,37 +235,28 @@ def removed(docs: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
     return whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
-def dedup_corpus(spark: SparkSession, docs: DataFrame, batches: int = 2, width: int = WIDTH, gram: int = GRAM, path: str | None = None) -> DataFrame:
-    """All of docs through a fresh index, in `batches` ranges of doc_id: each batch is merge-joined with the
-    runs before it and becomes a run; then every candidate window is verified. See removed() for the columns."""
-    index = FingerprintIndex(spark, path or W.shared(spark, "fingerprints"), fanout=batches)
+def dedup_corpus(spark: SparkSession, docs: DataFrame, batches: int = 2, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """All of docs through a fresh index, in `batches` ranges of doc_id: each batch becomes a run, which is
+    merge-joined with the runs before it; runs are compacted; then every candidate window is verified.
+    See removed() for the columns."""
+    index = FingerprintIndex(spark, W.shared(spark, "fingerprints"), fanout=batches)
+    place = W.shared(spark, "repeated")
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 1000).alias("at")).head()["at"] if batches > 1 else []
-    live = []
     edges = [None, *(cuts or []), None]
     for low, high in zip(edges, edges[1:], strict=False):
         part = docs if low is None else docs.where(F.col("doc_id") > low)
         part = part if high is None else part.where(F.col("doc_id") <= high)
-        before = list(index.runs)
-        name = index.append(fingerprints(part, width, gram))
-        now, index.runs = index.runs, before
-        found = W.shared(spark, "live") if path is None else f"{path}/live-{name}"
-        index.repeated(index.read(name)).write.parquet(found)
-        index.runs = now
-        live.append(spark.read.schema("fp long").parquet(found))
-    index.compact()
-    every = live[0]
-    for more in live[1:]:
-        every = every.unionByName(more)
-    return removed(docs, repeats(docs, index.postings(), every.distinct(), width, gram), width)
+        index.append(fingerprints(part, width, gram)).write.mode("append").parquet(place)
+        index.compact()
+    index.drop()
+    return removed(docs, repeats(docs, spark.read.schema("fp long").parquet(place).distinct(), width, gram), width)
 
 
 def dedup_batch(spark: SparkSession, index: FingerprintIndex, batch: DataFrame, history: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """A new batch against all batches that the index holds (`history`: their documents, read again only to
-    verify). The batch becomes a run. Its documents are expected to have larger ids than those before."""
-    before = list(index.runs)
-    name = index.append(fingerprints(batch, width, gram))
-    now, index.runs = index.runs, before
-    live = index.repeated(index.read(name))
-    index.runs = now
+    """A new batch against all batches that the index holds. It becomes a run of the index. history: the earlier
+    documents, read again only to verify. The batch's documents should have larger ids than those before."""
+    place = W.shared(spark, "repeated")
+    index.append(fingerprints(batch, width, gram)).write.parquet(place)
+    index.compact()
     both = batch.select("doc_id", "text").unionByName(history.select("doc_id", "text"))
-    return removed(batch, repeats(both, index.postings(), live, width, gram), width)
+    return removed(batch, repeats(both, spark.read.schema("fp long").parquet(place), width, gram), width)
