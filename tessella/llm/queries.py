@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontamination, ngram_jaccard, substring_dedup, toxicity
+from tessella.llm import decontamination, ngram_jaccard, packing, substring_dedup, token_counts, token_files, toxicity
+from tessella.llm import words as W
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +27,33 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to record files and read back."""
+    path = W.shared(spark, "tokens")
+    token_files.write(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), path)
+    return token_files.read(spark, path)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_counts.counted(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have Jaccard 0.8 or more."""
     return ngram_jaccard.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op5_toxicity, op8_ngram_jaccard)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.packed(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op5_toxicity, op6_token_files, op7_token_counts, op8_ngram_jaccard, op10_packing)}
 ORACLES = {}

@@ -1,7 +1,8 @@
 """Token ids of whole texts by a tokenizers file, made once for each different piece of text in a task.
 
 A text is cut where its tokenizer cannot join: before white space that follows a letter, digit or
-sign known not to be white space itself. Pieces seen before get their ids from a bounded cache, so
+sign known not to be white space itself, and between an ASCII letter and a sign after it (but for
+those in contractions and special tokens). Pieces seen before get their ids from a bounded cache, so
 equal words are tokenized once; a text without such places is one piece, tokenized whole.
 """
 
@@ -15,25 +16,58 @@ from tessella.llm import words as W
 
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+#: Signs that end a run of letters and belong to no contraction or special token.
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b'!"#$%&()*+,-./:;=?@[]^_`{}~')] = True
+SLICE = 1 << 22
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> W.Words:
-    """Pieces that cover all bytes: each begins a text, or with ASCII white space after a printable ASCII
-    character or a letter of the Latin-1 block (two bytes, the first C3)."""
-    head = np.zeros(len(data), bool)
-    if len(data) > 1:
-        before = _PLAIN[data[:-1]].copy()
-        before[1:] |= (data[1:-1] >= 0x80) & (data[:-2] == 0xC3)
-        head[1:] = ~W.SPACED[data[1:]] & before
-    head[offsets[offsets < len(data)]] = True
-    starts = np.flatnonzero(head)
-    return W.Words(data, offsets, starts, np.append(starts[1:], len(data))[: len(starts)], np.searchsorted(starts, offsets))
+def pieces(data: np.ndarray, offsets: np.ndarray, spaced: bool) -> W.Words:
+    """The pieces in order. spaced: white space is dropped, and A-Z count as a-z."""
+    n = len(data)
+    edge = offsets[offsets < n]
+    head = np.zeros(n, bool)
+    if n > 1:
+        head[1:] = _SIGN[data[1:]] & _LETTER[data[:-1]]
+    if spaced:
+        inside = W.SPACED[data]
+        head[1:] |= inside[1:] & ~inside[:-1]
+        head[edge] = True
+        head &= inside
+        starts = np.flatnonzero(head)
+        stop = np.zeros(n + 1, bool)
+        stop[:n] = ~inside
+        stop[offsets] = True
+        stop[starts] = True
+        stop = np.flatnonzero(stop)
+        ends = stop[np.searchsorted(stop, starts, "right")] if len(starts) else starts
+    else:
+        if n > 1:
+            before = _PLAIN[data[:-1]].copy()
+            before[1:] |= (data[1:-1] >= 0x80) & (data[:-2] == 0xC3)
+            head[1:] |= ~W.SPACED[data[1:]] & before
+        head[edge] = True
+        starts = np.flatnonzero(head)
+        ends = np.append(starts[1:], n)[: len(starts)]
+    return W.Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
+
+
+_held: dict[tuple[str, bool], "Encoder"] = {}
+
+
+def encoder(path: str, spaced: bool = False) -> "Encoder":
+    """This worker process's encoder, with what it has learned in earlier tasks."""
+    if (path, spaced) not in _held:
+        _held[path, spaced] = Encoder(path, spaced)
+    return _held[path, spaced]
 
 
 class Encoder:
-    """Ids of many texts at a time. spaced: the tokenizer drops white space, so pieces are words."""
+    """Ids of many texts at a time. spaced: the tokenizer drops white space and lower-cases ASCII."""
 
-    def __init__(self, path: str, spaced: bool = False, keep: int = 400_000):
+    def __init__(self, path: str, spaced: bool = False, keep: int = 2_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,47 +77,54 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        if len(self.known) + len(keys) > self.keep:
-            self._reset()
-        for key, got in zip(keys, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids = got.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            k = len(self.known)
-            if k == len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.known[key], self.start[k], self.size[k] = k, self.used, len(ids)
-            self.used += len(ids)
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 20, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        """Where each of the sorted keys is held, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        ids = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        size = np.array([len(x) for x in ids], np.int32)
+        flat = np.array([i for x in ids for i in x], self.flat.dtype)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.used += len(flat)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text's begin); with `end`, that id closes each text."""
-        got = W.words(data, offsets, W.SPACED) if self.spaced else pieces(data, offsets)
+        """(uint32 ids of all texts, where each text's begin); with `end`, that id closes each text."""
+        if self.spaced and not ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any():  # with "<|" case may tell special tokens from text
+            data = W.LOWER[data]
+        got = pieces(data, offsets, self.spaced)
         keys, first, which = np.unique(got.hashes(), return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        for _ in range(2):
-            new = [i for i, k in enumerate(keys) if k not in self.known]
-            if not new:
-                break
-            self._learn([keys[i] for i in new], [got.text(j, j + 1).decode() for j in first[new].tolist()])
-            if len(self.known) == len(new) < len(keys):  # the cache began anew: the rest is learned again
-                continue
-            break
-        slot = np.array([self.known[k] for k in keys], np.int64)[which] if keys else np.zeros(0, np.int64)
+        at = self._place(keys)
+        if (at < 0).any():
+            if len(self.keys) + (at < 0).sum() > self.keep:  # begins anew with what this slice has
+                self._reset()
+                at[:] = -1
+            new = first[at < 0]
+            whole = data.tobytes()
+            self._learn(keys[at < 0], [whole[a:b].decode() for a, b in zip(got.starts[new].tolist(), got.ends[new].tolist(), strict=True)])
+            at = self._place(keys)
+        slot = at[which]
         size = self.size[slot]
-        to = np.concatenate([[0], np.cumsum(size)])
+        to = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         edge = to[got.first]
         n = len(offsets) - 1
         gap = np.arange(n + 1) if end is not None else np.zeros(n + 1, np.int64)
         out = np.zeros(to[-1] + gap[-1], np.uint32)
-        shift = np.repeat(gap[:-1], got.counts)
-        place = np.repeat(to[:-1] + shift, size) + (rank := np.arange(to[-1]) - np.repeat(to[:-1], size))
-        out[place] = self.flat[np.repeat(self.start[slot], size) + rank]
+        steps = np.arange(to[-1])
+        source = np.repeat(self.start[slot] - to[:-1], size) + steps
+        out[np.repeat(np.repeat(gap[:-1], got.counts), size) + steps if end is not None else steps] = self.flat[source]
         starts = edge + gap
         if end is not None:
             out[starts[1:] - 1] = end
