@@ -110,7 +110,7 @@ def _frequencies(docs: DataFrame, block) -> dict[tuple[int, int], int]:
 
 
 def _contained(docs: DataFrame, block) -> DataFrame:
-    """(doc_id, text, n_words, spans list of (start, end) words, items) for each row against one block."""
+    """(row, text, n_words, spans list of (start, end) words, items) for each row against one block; row: W.carried()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
@@ -142,8 +142,8 @@ def _contained(docs: DataFrame, block) -> DataFrame:
                 ["row", "text", "n_words", "spans", "items"],
             )
 
-    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "row struct<doc_id:long>, text string, n_words long, spans array<struct<s:int,e:int>>, items array<string>")
+    rows = docs.select(W.carried(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string, n_words long, spans array<struct<s:int,e:int>>, items array<string>")
 
 
 def _covered(spans: str = "spans") -> F.Column:
@@ -162,7 +162,7 @@ def blocks(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, shin
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, text, n_words, spans, items, n_hit, contaminated) for each row of docs."""
+    """(row, text, n_words, spans, items, n_hit, contaminated) for each row of docs; row: its other columns."""
     parts = []
     for block in blocks(spark, benchmark, window, shingle, block_words):
         block.choose(_frequencies(docs, spark.sparkContext.broadcast(block)))
@@ -174,11 +174,17 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
         merged = out.groupBy("row", "text").agg(F.max("n_words").alias("n_words"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("times"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         out = merged.withColumn("again", F.explode(F.sequence(F.lit(1), "times")))
     out = out.withColumn("n_hit", _covered())
-    return out.select("row.doc_id", "text", "n_words", "spans", "items", "n_hit", (F.col("n_hit") > 0).alias("any")).withColumn("contaminated", F.col("any") & (20 * F.col("n_hit") >= F.col("n_words"))).drop("any")
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated."""
+    found = contamination(spark, docs, benchmark, window, shingle)
+    return W.restored(docs, found.where("NOT contaminated"), "row", F.col("text"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns."""
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,8 +201,9 @@ def repeats(docs: DataFrame, live: DataFrame, width: int = WIDTH, gram: int = GR
     return mine.groupBy("doc_id").agg(F.collect_list(F.struct("tx", "start", "n", hits.alias("hits"))).alias("found"))
 
 
-def removed(docs: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, kept_sha256 and kept, the words left, joined by single spaces."""
+def removed(docs: DataFrame, found: DataFrame, width: int = WIDTH, carry: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_removed, kept_sha256 and kept, the words left, joined by single
+    spaces. With carry: instead row, the other columns, and text, unchanged where nothing was removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
@@ -215,30 +217,33 @@ def removed(docs: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
                         np.add.at(drop, at, 1)
                         np.add.at(drop, at + width, -1)
             gone = np.cumsum(drop[:-1]) > 0
-            cut = np.concatenate([[0], np.cumsum(gone)])[got.first]
+            cut = np.diff(np.concatenate([[0], np.cumsum(gone)])[got.first])
             kept = np.flatnonzero(~gone)
             size = got.ends[kept] - got.starts[kept] + 1
             to = np.concatenate([[0], np.cumsum(size)])
             out = np.append(got.data, np.uint8(0))[np.repeat(got.starts[kept] - to[:-1], size) + np.arange(to[-1])]
             out[to[1:] - 1] = 0x20
             edge = to[np.searchsorted(kept, got.first)]
-            texts = [out[a : max(a, b - 1)].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [W.column(batch, "doc_id"), pa.array(got.counts), pa.array(np.diff(cut)), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(texts, pa.binary()).cast(pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+            texts = pa.array([out[a : max(a, b - 1)].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary())
+            if carry:
+                yield pa.RecordBatch.from_arrays([W.column(batch, "row"), pc.if_else(pa.array(cut > 0), texts.cast(pa.string()), W.column(batch, "text"))], ["row", "text"])
+            else:
+                sums = pa.array([hashlib.sha256(t).hexdigest() for t in texts.to_pylist()])
+                yield pa.RecordBatch.from_arrays([W.column(batch, "doc_id"), pa.array(got.counts), pa.array(cut), sums, texts.cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    more = [W.carried(docs).alias("row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    rest = ["row"] if carry else []
     known, nameless = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
-    whole = known.select("doc_id", F.xxhash64("text").alias("tx"), "text").join(found.hint("merge"), "doc_id", "left")
-    whole = whole.unionByName(nameless.select("doc_id", F.lit(0).cast("long").alias("tx"), "text", F.lit(None).cast(found.schema["found"].dataType).alias("found")))
-    return whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    whole = known.select("doc_id", F.xxhash64("text").alias("tx"), "text", *rest).join(found.hint("merge"), "doc_id", "left")
+    whole = whole.unionByName(nameless.select("doc_id", F.lit(0).cast("long").alias("tx"), "text", *rest, F.lit(None).cast(found.schema["found"].dataType).alias("found")))
+    fields = f"row {rows.schema['row'].dataType.simpleString()}, text string" if carry else "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    return whole.mapInArrow(run, fields)
 
 
-def dedup_corpus(spark: SparkSession, docs: DataFrame, batches: int = 2, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """All of docs through a fresh index, in `batches` ranges of doc_id: each batch becomes a run, which is
-    merge-joined with the runs before it; runs are compacted; then every candidate window is verified.
-    See removed() for the columns."""
+def repeated_in(spark: SparkSession, docs: DataFrame, batches: int = 2, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """repeats() for all of docs through a fresh index, in `batches` ranges of doc_id: each batch becomes a run,
+    which is merge-joined with the runs before it; runs are compacted; every candidate window is verified."""
     index = FingerprintIndex(spark, W.shared(spark, "fingerprints"), fanout=batches)
     place = W.shared(spark, "repeated")
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 1000).alias("at")).head()["at"] if batches > 1 else []
@@ -249,7 +254,19 @@ def dedup_corpus(spark: SparkSession, docs: DataFrame, batches: int = 2, width:
         index.append(fingerprints(part, width, gram)).write.mode("append").parquet(place)
         index.compact()
     index.drop()
-    return removed(docs, repeats(docs, spark.read.schema("fp long").parquet(place).distinct(), width, gram), width)
+    return repeats(docs, spark.read.schema("fp long").parquet(place).distinct(), width, gram)
+
+
+def dedup_corpus(spark: SparkSession, docs: DataFrame, batches: int = 2, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """All of docs deduplicated; see removed() for the columns."""
+    return removed(docs, repeated_in(spark, docs, batches, width, gram), width)
+
+
+def rewritten(spark: SparkSession, docs: DataFrame, batches: int = 2, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """docs, all columns, with the words left as text where any were removed; n_chars follows the text."""
+    out = removed(docs, repeated_in(spark, docs, batches, width, gram), width, carry=True)
+    out = W.restored(docs, out, "row", F.col("text"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def dedup_batch(spark: SparkSession, index: FingerprintIndex, batch: DataFrame, history: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:

@@ -186,6 +186,29 @@ def shared(spark, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def free(columns: list[str], name: str) -> str:
+    """A name that none of the columns has (Spark doesn't tell case apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def carried(docs):
+    """A struct of all of docs' columns but text, and whether text is null, to go through an operator whole."""
+    from pyspark.sql import functions as F
+
+    return F.struct(F.col("text").isNull().alias(free(docs.columns, "is_null")), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+
+
+def restored(docs, rows, row: str, text):
+    """Rows with a carried struct `row` back in the columns of docs; text: the column that takes text's place."""
+    from pyspark.sql import functions as F
+
+    missing = F.col(row).getField(free(docs.columns, "is_null"))
+    return rows.select(*(F.when(missing & (text == ""), None).otherwise(text).alias(c) if c == "text" else F.col(row).getField(c).alias(c) for c in docs.columns))
+
+
 def remove(spark, path: str) -> None:
     """Delete a folder of the shared file system."""
     to = spark._jvm.org.apache.hadoop.fs.Path(path)
