@@ -10,10 +10,11 @@ combinations of two neighbours, and only in sets with fewer rare tokens than the
 "Frequent" is a bounded set of tokens that many documents hold by counts over all of them; any
 choice of that set gives the same links.
 
-Equal sets are one class. Short posting lists give their pairs; long ones are joined with one hub
-each, in rounds, and only members that are still in different components are paired in the end.
-Pairs are cut by size and by a parity sketch (its differing bits never exceed the sets' symmetric
-difference), the rest verified on the whole texts.
+Equal sets are one class. In each posting list all classes are first paired with one hub. Only lists
+whose classes are then still in different components give more pairs: short lists all those between
+components, long ones with other hubs in further rounds, and what is left all at last. Pairs are cut
+by size and by a parity sketch (its differing bits never exceed the sets' symmetric difference), the
+rest verified on the whole texts.
 
 Defined results: null, empty and all-space texts have no shingles and link with nothing; equal
 rows are linked; rows with a null doc_id take part, and get a null component only if nothing with
@@ -32,12 +33,13 @@ from pyspark.sql import functions as F
 from tessella.llm import words as W
 
 GRAM = 5
-#: A posting list up to this long gives all its pairs; a token in more documents counts as frequent.
+#: A posting list up to this long may give all its pairs; a token in more documents counts as frequent.
 SHORT = 32
+#: The documents to verify are broadcast (as two longs each) up to so many, else joined by a shuffle.
+FEW = 1 << 16
 #: At most so many tokens are frequent (the commonest); this bounds what is broadcast.
 MOST_FREQUENT = 1 << 16
 LOCAL = 4
-SKETCH_BITS = 1024
 FLUSH = 1 << 19
 
 
@@ -66,8 +68,22 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    odd = np.bincount((W.mix(tokens) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    """Which of as many bits as tokens, at least, an odd number of them falls on."""
+    bits = 1 << max(8, min(16, (len(tokens) - 1).bit_length()))
+    odd = np.bincount((W.mix(tokens) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits sketches differ, the longer one folded to the shorter one's bits."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for pair in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == pair).all(axis=1))
+        least = int(pair.min())
+        both = [np.bitwise_xor.reduce(np.frombuffer(b"".join(x[i] for i in at), np.uint64).reshape(len(at), -1, least // 8), axis=1) for x in (a, b)]
+        out[at] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -111,8 +127,8 @@ def frequent_tokens(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
             yield counted(held)
 
     counts = _rows(docs).select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= SHORT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").collect()
-    return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
+    top = counts.where(F.col("n") >= SHORT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()
+    return np.sort(top["token"].to_numpy().view(np.uint64))
 
 
 def signatures(tokens: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +145,7 @@ def signatures(tokens: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def candidates(spark: SparkSession, docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """Rows (a, b, sig): pairs of classes from short posting lists (sig null), or members a of long ones (b null)."""
+    """(sig, cls): the posting lists of single tokens that two classes or more hold, and of all combinations."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 16 * parts
     often = spark.sparkContext.broadcast(frequent_tokens(docs, gram))
@@ -178,32 +194,20 @@ def candidates(spark: SparkSession, docs: DataFrame, gram: int = GRAM) -> DataFr
             if size[kind]:
                 yield packed(*held[kind], turn % buckets if kind else None)
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def members(s: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([W.longs(c), pa.nulls(len(c), pa.int64()), W.longs(s)], ["a", "b", "sig"])
+            return pa.RecordBatch.from_arrays([W.longs(s), W.longs(c)], ["sig", "cls"])
 
-        def joined(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        def shared(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             s, c = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((c, s))
             s, c = s[order], c[order]
             new = np.ones(len(s), bool)
             new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
             s, c = s[new], c[new]
-            head = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            n = np.diff(np.append(head, len(s)))
-            long = np.repeat(n > SHORT, n)
-            if long.any():
-                yield members(s[long], c[long])
-            s, c = s[~long], c[~long]
-            found = []
-            for step in range(1, SHORT):
-                same = np.flatnonzero(s[step:] == s[:-step])
-                if not len(same):
-                    break
-                found.append(np.stack([c[same], c[same + step]], 1))
-            if found:
-                both = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([W.longs(both[:, 0].copy()), W.longs(both[:, 1].copy()), pa.nulls(len(both), pa.int64())], ["a", "b", "sig"])
+            same = np.append(False, s[1:] == s[:-1])
+            same[:-1] |= same[1:]
+            return members(s[same], c[same])
 
         at, held = None, []
         for batch in batches:
@@ -213,15 +217,15 @@ def candidates(spark: SparkSession, docs: DataFrame, gram: int = GRAM) -> DataFr
                     yield members(s, c)
                     continue
                 if bucket != at and held:
-                    yield from joined(held)
+                    yield shared(held)
                     held = []
                 at = bucket
                 held.append((s.copy(), c.copy()))
         if held:
-            yield from joined(held)
+            yield shared(held)
 
     dealt = _rows(docs).select("text").mapInArrow(emit, "bucket int, sig array<long>, cls array<long>").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(pair, "a long, b long, sig long")
+    return dealt.mapInArrow(lists, "sig long, cls long").distinct()
 
 
 def _close_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -229,9 +233,8 @@ def _close_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(W.column(batch, k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in ("sa", "sb"))
             na, nb = (W.column(batch, k).to_numpy() for k in ("na", "nb"))
-            apart = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
+            apart = _apart(*(W.column(batch, k).to_pylist() for k in ("sa", "sb")))
             yield batch.filter(pa.array(9 * apart <= na + nb)).select(["a", "b", "ra", "ta", "rb", "tb"])
 
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("doc_id").alias(f"r{x}"), F.col("tx").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -250,9 +253,10 @@ def verified(pairs: DataFrame, docs: DataFrame, gram: int = GRAM) -> DataFrame:
                 keep.append(100 * both >= 80 * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    need = pairs.select(F.col("ra").alias("doc_id"), F.col("ta").alias("tx")).union(pairs.select("rb", "tb")).distinct()
+    need = pairs.select(F.col("ra").alias("doc_id"), F.col("ta").alias("tx")).union(pairs.select("rb", "tb")).distinct().checkpoint()
+    need = F.broadcast(need) if need.count() <= FEW else need.hint("merge")
     rows = _rows(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    texts = rows.join(need.hint("merge"), ["doc_id", "tx"], "left_semi").groupBy("doc_id", "tx").agg(F.first("text").alias("text"))
+    texts = rows.join(need, ["doc_id", "tx"], "left_semi").groupBy("doc_id", "tx").agg(F.first("text").alias("text"))
     side = lambda x: texts.select(F.col("doc_id").alias(f"r{x}"), F.col("tx").alias(f"t{x}"), F.col("text").alias(f"x{x}"))
     both = pairs.join(side("a").hint("merge"), ["ra", "ta"]).join(side("b").hint("merge"), ["rb", "tb"])
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
@@ -272,35 +276,37 @@ def components(links: DataFrame) -> DataFrame:
             return at
 
 
-def link_classes(spark: SparkSession, docs: DataFrame, gram: int = GRAM, hubs: int = 3) -> tuple[DataFrame, DataFrame]:
+def link_classes(spark: SparkSession, docs: DataFrame, gram: int = GRAM, hubs: int = 2) -> tuple[DataFrame, DataFrame]:
     """(classes with cls, n, doc_id: one row for each different set; (cls, root) of those with links)."""
     W.shared(spark, "")  # sees to a checkpoint folder
     rows = keyed(docs, gram).where("cls IS NOT NULL").withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     least = F.min(F.struct(F.when(F.col("doc_id") == -(1 << 63), (1 << 63) - 1).otherwise(F.col("doc_id")).alias("order"), "doc_id", "tx", "n", "sketch"))
     classes = rows.groupBy("cls").agg(least.alias("r")).select("cls", "r.doc_id", "r.tx", "r.n", "r.sketch").checkpoint()
-    place = W.shared(spark, "candidates")
+    place = W.shared(spark, "postings")
     candidates(spark, docs, gram).write.parquet(place)
-    found = spark.read.schema("a long, b long, sig long").parquet(place)
-    members = found.where("sig IS NOT NULL").select("sig", F.col("a").alias("cls")).distinct()
-    star = lambda df, hub: df.join(df.groupBy("sig").agg(hub.alias("hub")), "sig").where("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
-    links = None
+    members = spark.read.schema("sig long, cls long").parquet(place)
+    links, roots = None, None
     for turn in range(hubs + 1):
-        if turn == 0:
-            open_, pairs = members, found.where("sig IS NULL").select("a", "b").union(star(members, F.min("cls"))).distinct()
+        at = members if roots is None else members.join(roots, "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
+        if roots is None:
+            lists = at.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("other")).where("hub < other").select("sig", "hub")
+            pairs = at.join(lists, "sig").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
         else:
-            at = members.join(roots, "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
-            split = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-            open_ = at.join(split, "sig", "left_semi").checkpoint()
+            hub = F.min_by(F.struct("cls", "root"), F.xxhash64("root", F.lit(turn)))
+            lists = at.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub.alias("hub")).where("lo < hi")
+            # short lists gave all their pairs in the first of these rounds
+            lists = lists.where(F.col("size") > SHORT) if turn > 1 else lists
+            open_ = at.join(lists.select("sig", "size", "hub"), "sig").checkpoint()
             if open_.isEmpty():
                 break
-            if turn < hubs:
-                pairs = star(open_, F.min_by("cls", F.xxhash64("root", F.lit(turn)))).distinct()
-            else:
-                other = open_.select("sig", F.col("cls").alias("b"), F.col("root").alias("root_b"))
-                pairs = open_.withColumnRenamed("cls", "a").join(other, "sig").where("root < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = verified(_close_enough(pairs, classes).checkpoint(), docs, gram)
-        links = (new if links is None else links.union(new)).checkpoint()
-        roots = components(links)
+            star = open_.where(F.col("size") > SHORT).where("root <> hub.root").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"))
+            whole = open_.where(F.col("size") <= SHORT) if turn < hubs else open_
+            each = whole.join(whole.select("sig", F.col("cls").alias("b"), F.col("root").alias("root_b")), "sig").where("root < root_b").select(F.col("cls").alias("a"), "b")
+            pairs = (each.union(star) if turn < hubs else each).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = verified(_close_enough(pairs, classes).checkpoint(), docs, gram).checkpoint()
+        if roots is None or not new.isEmpty():
+            links = new if links is None else links.union(new)
+            roots = components(links)
     W.remove(spark, place)
     return classes.select("cls", "n", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id")), roots
 
