@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import chat_format, decontamination, ngram_jaccard, packing, quality_rules, sharding, substring_dedup, token_counts, token_files, toxicity
 from tessella.llm import words as W
+from tessella.llm.oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,4 +98,3 @@ QUERIES = {
         pipeline,
     )
 }
-ORACLES = {}
