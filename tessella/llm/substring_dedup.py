@@ -79,7 +79,7 @@ class FingerprintIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fanout: int = 2):
-        self.spark, self.path, self.fanout = spark, path, fanout
+        self.spark, self.path, self.fanout = spark, path, max(2, fanout)  # one run alone is never merged
         self.version, self.runs = 0, []
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         to = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
