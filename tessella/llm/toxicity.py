@@ -120,10 +120,6 @@ class Model:
         single = np.zeros(len(new))
         self.word.put(h[new], single)
         r[new] = single
-        once = np.zeros(len(h), bool)  # said again, a word says nothing new
-        some = np.flatnonzero(r)
-        once[some[_new(got.doc()[some], h[some])]] = True
-        r[~once] = 0
         total = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
         n = got.counts
         mean = (total[got.first[1:]] - total[got.first[:-1]]) / np.maximum(n, NEAR)  # a few words prove little

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from tessella.llm import decontamination, ngram_jaccard, packing, quality_rules, substring_dedup, toxicity
@@ -116,3 +117,20 @@ def test_stages_take_odd_tables(spark):
         assert name == "packing" or got.columns == wide.columns
         assert got.count() > 0
         assert stage(spark, nothing(spark), SF).count() == 0
+
+
+def test_toxicity_counts_every_occurrence():
+    """A passage of words that the text has said before counts in both features."""
+    names = [f"w{i}" for i in range(12)]
+    single = {w: -0.25 for w in names}
+    double = {(names[i], names[(i + 5) % 12]): 2.0 for i in range(12)}
+    batch = lambda text: pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
+    code = lambda w: toxicity._grams(batch(w))[2]
+    look = lambda keys, values: toxicity.Lookup(np.concatenate(keys), np.array(values))
+    model = toxicity.Model(look([toxicity._pair(code(a), code(b)) for a, b in double], list(double.values())), look([code(w) for w in single], list(single.values())))
+    said = names * 4 + [names[i * 5 % 12] for i in range(12)]
+    ratio = [double.get(pair, single[pair[1]]) for pair in zip([None, *said], said, strict=False)]
+    near = toxicity.NEAR
+    _, mean, best, *_ = model.features(batch(" ".join(said)))[0]
+    assert abs(mean - sum(ratio) / len(said)) < 1e-9
+    assert abs(best - max(sum(ratio[i : i + near]) / near for i in range(len(said) - near + 1))) < 1e-9 and best > 1.9
