@@ -14,7 +14,8 @@ DISCOUNTS whose curve fits those rows best.
 
 Bounds: at most `per_class` labelled documents of each class (the first by a hash of doc_id) are learned
 from, so the counts that are broadcast are bounded by that sample. The
-shared counts lie in 2^BITS slots of words and cover every document.
+corpus counts stay in a table of all words of all documents, from which those
+of the sample's words and the grand total are read.
 
 Defined results: null and empty texts have features of 0; without labelled rows of both classes
 every score is 0; several labels of a document count as toxic if one does, null labels and labels
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from tessella.llm import words as W
 
 PER_CLASS = 3000
-BITS = 20
+BITS, CHUNK = 20, 1 << 21
 DISCOUNTS, NEAR, FOLDS = (1.0, 2.0, 3.0, 5.0), 8, 5
 _START = np.uint64(0x5EED)
 
@@ -66,22 +67,26 @@ def _new(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """For each slot of words, how many times a document of the corpus holds one."""
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how many documents of the corpus hold each word, by its 64-bit hash."""
+
+    def told(parts: list[np.ndarray]) -> pa.RecordBatch:
+        word, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([W.longs(word), pa.array(n.astype(np.int64))], ["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << BITS, np.int64)
+        parts, size = [], 0
         for batch in W.slices(batches):
             got, _, h = _grams(batch)
-            key = np.unique(got.doc() << BITS | _slot(h))
-            count += np.bincount(key & ((1 << BITS) - 1), minlength=1 << BITS)
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["slot", "n"])
+            parts.append(h[_new(got.doc(), h)])
+            size += len(parts[-1])
+            if size > CHUNK:
+                yield told(parts)
+                parts, size = [], 0
+        if parts:
+            yield told(parts)
 
-    got = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BITS)
-    out[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return out
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Lookup:
@@ -140,12 +145,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(batch) @ self.weights, -30, 30)))
 
 
-def _ratios(before: np.ndarray, word: np.ndarray, c: np.ndarray, n: np.ndarray, corpus: np.ndarray, discount: float) -> Model:
-    """The model of class c's counts n (0 toxic, 1 ordinary) of words (before 0) and bigrams."""
+def _ratios(before: np.ndarray, word: np.ndarray, c: np.ndarray, n: np.ndarray, corpus: Lookup, discount: float) -> Model:
+    """The model of class c's counts n (0 toxic, 1 ordinary) of words (before 0) and bigrams; corpus: each word's share."""
     one = before == 0
     words, at = np.unique(word, return_inverse=True)
     k = [np.bincount(at[one & (c == i)], n[one & (c == i)], minlength=len(words)) for i in (0, 1)]
-    shared = np.maximum(corpus, 1)[_slot(words)] / np.maximum(corpus, 1).sum()
+    shared = np.zeros(len(words))
+    corpus.put(words, shared)
     every = k[0] + k[1]
     shared = (np.maximum(every - discount, 0) + np.minimum(every, discount).sum() * shared) / max(1.0, every.sum())
     left = max(1e-3, np.minimum(every, discount).sum() / max(1.0, every.sum()))  # the same for both, so what neither has says nothing
@@ -205,7 +211,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     two = grams.select("c", "before", "word", F.col("first").alias("after"))
     got = one.unionByName(two).groupBy("c", "before", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
     c, before, word, n = got["c"].to_numpy(), got["before"].to_numpy().view(np.uint64), got["word"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    corpus = corpus_counts(docs)
+    counts = corpus_counts(docs).checkpoint()
+    total = counts.agg(F.sum("n")).head()[0]
+    seen = counts.join(grams.select("word").distinct(), "word").toArrow()
+    corpus = Lookup(seen["word"].to_numpy().view(np.uint64), seen["n"].to_numpy() / (total or 1))
     models = [_ratios(before, word, c, n, corpus, d) for d in DISCOUNTS]
     held = spark.sparkContext.broadcast(models)
     k = nothing.features(pa.RecordBatch.from_arrays([pa.array([""])], ["text"])).shape[1]

@@ -134,3 +134,15 @@ def test_toxicity_counts_every_occurrence():
     _, mean, best, *_ = model.features(batch(" ".join(said)))[0]
     assert abs(mean - sum(ratio) / len(said)) < 1e-9
     assert abs(best - max(sum(ratio[i : i + near]) / near for i in range(len(said) - near + 1))) < 1e-9 and best > 1.9
+
+
+def test_toxicity_counts_each_word_of_the_corpus(spark):
+    """Words have counts of their own, also where many share the upper bits of their hashes."""
+    texts = [" ".join(f"v{i % m}" for i in range(0, 20_000, k)) for k in (1, 2, 3) for m in (20_000, 5_000)] + [None, "", "v1 v1"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = Counter(w for t in texts for w in set(alnum(t)))
+    names = sorted(want)
+    code = toxicity._grams(pa.RecordBatch.from_arrays([pa.array([" ".join(names)])], ["text"]))[2]
+    upper = code >> np.uint64(64 - toxicity.BITS)
+    assert len(np.unique(upper)) < len(names)
+    assert {r.word: r.n for r in toxicity.corpus_counts(frame).collect()} == {int(h): want[w] for h, w in zip(code.view(np.int64), names, strict=True)}
