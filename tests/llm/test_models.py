@@ -146,3 +146,21 @@ def test_toxicity_counts_each_word_of_the_corpus(spark):
     upper = code >> np.uint64(64 - toxicity.BITS)
     assert len(np.unique(upper)) < len(names)
     assert {r.word: r.n for r in toxicity.corpus_counts(frame).collect()} == {int(h): want[w] for h, w in zip(code.view(np.int64), names, strict=True)}
+
+
+def test_every_language_has_a_reference(spark, monkeypatch):
+    """More languages than a block holds, one with words too rare for a share of 1/20000, and texts of no language."""
+    texts = [(f"l{k}", " ".join(chr(0x4E00 + 60 * k + i % 60) + "a" * (k % 7) for i in range(240))) for k in range(150)]
+    often = [f"o{i}" for i in range(quality_rules.WORDS)]
+    texts += [("rare", " ".join([*often, *often, *(f"r{i}" for i in range(40_000))])), ("rare", " ".join(often[:80])), (None, texts[149][1]), (None, " ".join(often[:60]))]
+    frame = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality_rules.ruled(spark, frame).collect()}
+    assert all(got[i].js_words < 1e-6 and got[i].js_chars < 1e-6 for i in [*range(150), 152])
+    counts = [Counter(alnum(t)) for lang, t in texts if lang == "rare"]
+    total = sum(x.total() for x in counts)
+    top = {w: sum(x[w] for x in counts) / total for w in often}
+    p = np.array([1 / 80] * 80 + [0] * 21)
+    q = np.array([*top.values(), 1 - sum(top.values())])
+    assert abs(got[151].js_words - quality_rules.js_distance(p, q)) < 1e-6
+    monkeypatch.setattr(quality_rules, "BLOCK", 16)
+    assert {r.doc_id: r for r in quality_rules.ruled(spark, frame.repartition(5)).collect()} == got
