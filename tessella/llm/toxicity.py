@@ -209,33 +209,39 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     grams = rows.where("NOT curve").select("toxic", "text").distinct().mapInArrow(counted, "c int, first long, before long, word long").distinct().checkpoint()
     one = grams.select("c", F.lit(0).cast("long").alias("before"), "word", F.col("before").alias("after")).distinct()
     two = grams.select("c", "before", "word", F.col("first").alias("after"))
-    got = one.unionByName(two).groupBy("c", "before", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
+    got = one.unionByName(two).groupBy("c", "before", "word").agg(F.count(F.lit(1)).alias("n")).toArrow()
     c, before, word, n = got["c"].to_numpy(), got["before"].to_numpy().view(np.uint64), got["word"].to_numpy().view(np.uint64), got["n"].to_numpy()
     counts = corpus_counts(docs).checkpoint()
     total = counts.agg(F.sum("n")).head()[0]
     seen = counts.join(grams.select("word").distinct(), "word").toArrow()
     corpus = Lookup(seen["word"].to_numpy().view(np.uint64), seen["n"].to_numpy() / (total or 1))
-    models = [_ratios(before, word, c, n, corpus, d) for d in DISCOUNTS]
-    held = spark.sparkContext.broadcast(models)
-    k = nothing.features(pa.RecordBatch.from_arrays([pa.array([""])], ["text"])).shape[1]
+    best = None
+    for discount in DISCOUNTS:  # one after another, so that only one model is broadcast at a time
+        model = _ratios(before, word, c, n, corpus, discount)
+        held = spark.sparkContext.broadcast(model)
+        y, x = _featured(rows.where("curve").select("toxic", "text"), held)
+        held.destroy(blocking=True)
+        if not 0 < y.sum() < len(y):
+            return nothing
+        weight = np.where(y > 0, found[True] / y.sum(), found[False] / (1 - y).sum())
+        weight *= len(y) / weight.sum()
+        model.weights, loss = fit_logistic(x, y, weight)
+        if best is None or loss < best[0]:
+            best = loss, model
+    return best[1]
+
+
+def _featured(rows: DataFrame, held) -> tuple[np.ndarray, np.ndarray]:
+    """(toxic, features) of labelled rows; held: a broadcast Model."""
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
-            x = np.concatenate([m.features(batch) for m in held.value], 1)
+            x = held.value.features(batch)
             yield pa.RecordBatch.from_arrays([W.column(batch, "toxic"), W.lists(x.ravel(), np.arange(len(x) + 1) * x.shape[1]).cast(pa.list_(pa.int64()))], ["toxic", "x"])
 
-    got = rows.where("curve").select("toxic", "text").mapInArrow(featured, "toxic boolean, x array<long>").toArrow()
-    held.unpersist()
+    got = rows.mapInArrow(run, "toxic boolean, x array<long>").toArrow()
     y = got["toxic"].to_numpy().astype(float)
-    if not 0 < y.sum() < len(y):
-        return nothing
-    every = np.array(got["x"].to_pylist(), np.int64).view(np.float64).reshape(len(y), len(DISCOUNTS), k)
-    weight = np.where(y > 0, found[True] / y.sum(), found[False] / (1 - y).sum())
-    weight *= len(y) / weight.sum()
-    fits = [fit_logistic(every[:, i], y, weight) for i in range(len(DISCOUNTS))]
-    best = min(range(len(fits)), key=lambda i: fits[i][1])
-    models[best].weights = fits[best][0]
-    return models[best]
+    return y, np.array(got["x"].to_pylist(), np.int64).view(np.float64).reshape(len(y), -1) if len(y) else np.zeros((0, 0))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[np.ndarray, float]:

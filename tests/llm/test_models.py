@@ -164,3 +164,14 @@ def test_every_language_has_a_reference(spark, monkeypatch):
     assert abs(got[151].js_words - quality_rules.js_distance(p, q)) < 1e-6
     monkeypatch.setattr(quality_rules, "BLOCK", 16)
     assert {r.doc_id: r for r in quality_rules.ruled(spark, frame.repartition(5)).collect()} == got
+
+
+def test_toxicity_keeps_bigrams_seen_once(spark):
+    """Each bigram of the documents that give counts is in the model, whatever its count."""
+    texts = [(i, f"all say u{i} and x{i} of {'bad' if i % 2 else 'good'} things") for i in range(80)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(spark, frame, labels)
+    counted = frame.where(~toxicity.held_out()).where("pmod(xxhash64(doc_id, 6), 4) <> 0").select("text").collect()
+    _, before, h = toxicity._grams(pa.RecordBatch.from_arrays([pa.array([r.text for r in counted])], ["text"]))
+    assert model.weights is not None and set(model.pair.keys.tolist()) == set(toxicity._pair(before, h).tolist())
