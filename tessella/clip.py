@@ -70,7 +70,8 @@ class Clip:
     def samples(self) -> DataFrame:
         """(n, plane, y, x, v): a row per sample."""
         width = by_plane(self.info, lambda p: F.lit(self.info.size(p)[0]))
-        long = self.frames.select("n", "plane", F.posexplode("data").alias("i", "v"))
+        # the inner form would bring a filter on size(data), pushed down to the scan with all operators' lambdas in it
+        long = self.frames.select("n", "plane", F.posexplode_outer("data").alias("i", "v"))
         return long.select(F.col("n"), F.col("plane"), F.expr("i").alias("i"), width.alias("w"), "v").select("n", "plane", F.expr("cast(i div w as int)").alias("y"), (F.col("i") % F.col("w")).alias("x"), "v")
 
     def frame(self, n: int) -> dict[int, list]:
@@ -119,7 +120,7 @@ class Audio:
 
     def samples(self) -> DataFrame:
         """(s, ch, v): a row per sample and channel, ch counted from 0."""
-        return self.rows.select("s", F.posexplode("v").alias("ch", "v"))
+        return self.rows.select("s", F.posexplode_outer("v").alias("ch", "v"))
 
 
 def by_plane(info: VideoInfo, make: Callable[[int], Column]) -> Column:
@@ -130,6 +131,11 @@ def by_plane(info: VideoInfo, make: Callable[[int], Column]) -> Column:
     return out
 
 
+def bound_to(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value) with value computed once per row, however often make refers to it (also within lambdas)."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def moved(clip: Clip, info: VideoInfo, to: Column, props: Callable[[DataFrame], DataFrame] | None = None) -> Clip:
     """Frames sent to the indices in the array `to` (a Column over n): selection, repetition and order without a join."""
     send = lambda df: df.select(F.explode(to).alias("_to"), *[c for c in df.columns if c != "n"]).withColumnRenamed("_to", "n")

@@ -17,7 +17,8 @@ def placed(clip: Clip, info: VideoInfo, at) -> Clip:
 
     def data(p: int) -> Column:
         w, h = info.size(p)
-        return F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda i: at(p, F.floor(i / w).cast("int"), (i % w).cast("int")))
+        # data stands here twice, or the optimizer would put what makes it inside the lambda, once for each sample
+        return F.when(F.col("data").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda i: at(p, F.floor(i / w).cast("int"), (i % w).cast("int"))))
 
     return clip.but(info, clip.frames.select("n", "plane", by_plane(info, data).alias("data")))
 

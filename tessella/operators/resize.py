@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.clip import Clip, by_plane
+from tessella.clip import Clip, bound_to, by_plane
 from tessella.info import FLOAT, RGB, YUV, VideoFormat, VideoInfo, need
 from tessella.registry import operator
 
@@ -76,9 +76,15 @@ KERNELS: dict[str, tuple[float, Callable]] = {
 }
 
 
+FIELD = 0.25
+
+
 def taps(kind: str, n_in: int, n_out: int, start: float = 0.0, span: float | None = None, a=None, b=None) -> list[list[tuple[int, float]]]:
-    """(source, weight) pairs per output coordinate; sources beyond an edge are mirrored."""
+    """(source, weight) pairs per output coordinate; sources beyond an edge are mirrored. A side that keeps its place
+    and length keeps its samples, whatever the kernel."""
     span = span or n_in
+    if (n_out, start, span) == (n_in, 0.0, n_in):
+        return [[(i, 1.0)] for i in range(n_out)]
     step = span / n_out
     if kind == "Point":
         return [[(min(max(math.floor(start + (i + 0.5) * step), 0), n_in - 1), 1.0)] for i in range(n_out)]
@@ -110,7 +116,7 @@ def scaled(data: Column, w: int, h: int, across: list, down: list) -> Column:
     tx, ty = _table(across), _table(down)
     total = lambda t, at: F.aggregate(t, F.lit(0.0), lambda s, x: s + x["w"] * at(x["k"]))
     wide = F.transform(F.sequence(F.lit(0), F.lit(nw * h - 1)), lambda i: total(F.get(tx, (i % nw).cast("int")), lambda k: F.get(data, F.floor(i / nw).cast("int") * w + k)))
-    return F.transform(F.sequence(F.lit(0), F.lit(nw * nh - 1)), lambda i: total(F.get(ty, F.floor(i / nw).cast("int")), lambda k: F.get("_wide", k * nw + (i % nw).cast("int")))), wide
+    return bound_to(wide, lambda d: F.transform(F.sequence(F.lit(0), F.lit(nw * nh - 1)), lambda i: total(F.get(ty, F.floor(i / nw).cast("int")), lambda k: F.get(d, k * nw + (i % nw).cast("int")))))
 
 
 def _range(fmt: VideoFormat, plane: int, full: bool) -> tuple[float, float]:
@@ -127,7 +133,8 @@ def _range(fmt: VideoFormat, plane: int, full: bool) -> tuple[float, float]:
 MATRICES = {"709": (0.2126, 0.0722), "470bg": (0.299, 0.114), "170m": (0.299, 0.114), "2020ncl": (0.2627, 0.0593), "240m": (0.212, 0.087), "fcc": (0.30, 0.11)}
 
 
-def _resize(kind: str, clip: Clip, width=None, height=None, format=None, matrix_s=None, matrix_in_s=None, range_s=None, range_in_s=None, filter_param_a=None, filter_param_b=None, src_left=0.0, src_top=0.0, src_width=None, src_height=None) -> Clip:
+def _resize(kind: str, clip: Clip, width=None, height=None, format=None, matrix_s=None, matrix_in_s=None, range_s=None, range_in_s=None, filter_param_a=None, filter_param_b=None, src_left=0.0, src_top=0.0, src_width=None, src_height=None, fields: bool = False) -> Clip:
+    """fields: top fields (_Field 1) are taken to lie a quarter of their lines higher than the frame, bottom ones lower."""
     old = clip.info
     fmt = VideoFormat.of_id(format) if format is not None else old.format
     info = VideoInfo(fmt, width or old.width, height or old.height, old.length, old.fps)
@@ -141,23 +148,26 @@ def _resize(kind: str, clip: Clip, width=None, height=None, format=None, matrix_
         return clip
     frames = clip.frames.where(F.col("plane") < fmt.planes)
     unit = lambda p: _range(old.format, p, full_in)
-    level = by_plane(info, lambda p: F.transform("data", lambda v: (v.cast("double") - unit(p)[0]) / unit(p)[1]))
-    rows = frames.select("n", "plane", level.alias("data"))
+    level = lambda p: F.transform("data", lambda v: (v.cast("double") - unit(p)[0]) / unit(p)[1])
     sizes = {p: info.size(p) if not crosses else (info.width, info.height) for p in range(fmt.planes)}
-    first, second = {}, {}
+    picture = {}
     for p in range(fmt.planes):
         w, h = old.size(p)
         nw, nh = sizes[p]
         rx, ry = w / old.width, h / old.height
         sw, sh = (src_width or old.width) * rx, (src_height or old.height) * ry
         across = taps(kind, w, nw, src_left * rx, sw, filter_param_a, filter_param_b)
-        down = taps(kind, h, nh, src_top * ry, sh, filter_param_a, filter_param_b)
-        if all(len(t) == 1 and t[0] == (i, 1.0) for side in (across, down) for i, t in enumerate(side)) and (nw, nh) == (w, h):
-            first[p], second[p] = F.col("data"), F.col("_wide")
-        else:
-            second[p], first[p] = scaled(F.col("data"), w, h, across, down)
-    rows = rows.select("n", "plane", by_plane(info, lambda p: first[p]).alias("_wide"))
-    rows = rows.select("n", "plane", by_plane(info, lambda p: second[p]).alias("data"))
+        down = taps(kind, h, nh, src_top * ry + FIELD * fields, sh, filter_param_a, filter_param_b)
+        below = taps(kind, h, nh, src_top * ry - FIELD, sh, filter_param_a, filter_param_b) if fields else down
+        same = not fields and all(len(t) == 1 and t[0] == (i, 1.0) for side in (across, down) for i, t in enumerate(side)) and (nw, nh) == (w, h)
+        if same:
+            picture[p] = level(p)
+            continue
+        at = lambda down: bound_to(level(p), lambda d: scaled(d, w, h, across, down))  # noqa: B023, E731 - called at once
+        picture[p] = F.when(F.col("top"), at(down)).otherwise(at(below)) if fields else at(down)
+    if fields:
+        frames = frames.join(clip.props.select("n", (F.get(F.col("props").getItem("_Field")["i"], 0) == 1).alias("top")), "n")
+    rows = frames.select("n", "plane", by_plane(info, picture.get).alias("data"))
     if crosses:
         rows = _converted(rows, old.format.family == YUV, *MATRICES[matrix_in_s if old.format.family == YUV else matrix_s])
     end = lambda p: _range(fmt, p, full_out)
@@ -193,7 +203,7 @@ def bob(clip: Clip, filter="bicubic", tff=None) -> Clip:
     known = {k.lower(): k for k in ("Point", *KERNELS)}
     need(filter.lower() in known, "Bob: no such filter")
     fields = clip.std.SeparateFields(**({} if tff is None else {"tff": tff}))
-    return getattr(fields.resize, known[filter.lower()])(height=clip.info.height)
+    return _resize(known[filter.lower()], fields, height=clip.info.height, fields=True)
 
 
 __all__ = ["FLOAT"]

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -179,24 +182,30 @@ def box_blur(clip: Clip, planes=None, hradius=1, hpasses=1, vradius=1, vpasses=1
         raise OperatorError("BoxBlur: nothing to do")
     use = chosen(clip.info, planes, "BoxBlur")
     _sized(clip, "BoxBlur", use)
-    fmt, out = clip.info.format, clip
-    for radius, passes, across in ((hradius, hpasses, True), (vradius, vpasses, False)):
-        for turn in range(passes if radius else 0):
-
-            def data(p: int, radius=radius, across=across, turn=turn) -> Column:
-                w, h = clip.info.size(p)
-                span = 2 * radius + 1
-
-                def one(v: Column, i: Column) -> Column:
-                    y, x = F.floor(i / w).cast("int"), (i % w).cast("int")
-                    at = lambda k: y * w + _replicate(x + k, w) if across else _replicate(y + k, h) * w + x
-                    kind = "float" if fmt.is_float else "long"
-                    total = F.aggregate(F.sequence(F.lit(-radius), F.lit(radius)), F.lit(0).cast(kind), lambda acc, k: (acc + F.get("data", at(k))).cast(kind))
-                    if fmt.is_float:
-                        return (total * F.lit(1 / span).cast("float")).cast("float")
-                    return F.floor((total + (0 if turn % 2 else 2 * radius)) / span).cast("int")  # up, then down by turns
-
-                return F.transform("data", one)
-
-            out = mapped(out, use, data)
-    return out
+    sizes, kind = {p: clip.info.size(p) for p in use}, np.dtype(np.float32 if clip.info.format.is_float else np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, plane, data = batch.columns
+            offsets, flat, number = data.offsets.to_numpy(), data.values.to_numpy().astype(kind), plane.to_numpy()
+            for p, (w, h) in sizes.items():
+                rows = np.flatnonzero(number == p)
+                at = offsets[rows][:, None] + np.arange(w * h)
+                x = flat[at].reshape(len(rows), h, w)
+                for turn in range(hpasses if hradius else 0):
+                    x = _window_means(x, hradius, turn % 2 == 0)
+                for turn in range(vpasses if vradius else 0):
+                    x = _window_means(x.swapaxes(1, 2), vradius, turn % 2 == 0).swapaxes(1, 2)
+                flat[at] = x.reshape(len(rows), w * h)
+            yield pa.RecordBatch.from_arrays([n, plane, pa.ListArray.from_arrays(data.offsets, pa.array(flat))], ["n", "plane", "data"])
+
+    frames = clip.frames.select("n", "plane", "data")
+    return clip.but(frames=frames.mapInArrow(run, frames.schema))
+
+
+def _window_means(x: np.ndarray, radius: int, up: bool) -> np.ndarray:
+    """Means of 2 * radius + 1 samples along the last axis by prefix sums, edges replicated; integers rounded up or down."""
+    span, is_float = 2 * radius + 1, x.dtype.kind == "f"
+    total = np.cumsum(np.pad(x, ((0, 0), (0, 0), (radius + 1, radius)), "edge"), axis=2, dtype=np.float64 if is_float else np.int64)
+    total = total[..., span:] - total[..., :-span]
+    return (total * (1 / span)).astype(x.dtype) if is_float else ((total + (2 * radius if up else 0)) // span).astype(x.dtype)

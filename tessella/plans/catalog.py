@@ -139,8 +139,8 @@ for _name in ("Bilinear", "Bicubic", "Point", "Lanczos", "Spline16", "Spline36",
     gray(f"resize_{_name.lower()}", lambda c, k=_name: getattr(c.resize, k)(width=12, height=5), sql.scaled(resize.taps(_name, 8, 12), resize.taps(_name, 8, 5), 12, 5))
 gray("resize_depth", lambda c: c.resize.Point(format=VideoFormat(GRAY, INTEGER, 10).id, range_s="full", range_in_s="full"), sql.point("round_even(round(v / 255.0 * 1023.0, 6), 0)"))
 colour("resize_matrix", lambda c: c.resize.Point(format=VideoFormat(YUV, INTEGER, 8).id, matrix_s="709", range_s="limited"), sql.video(R8 + ", w AS (SELECT n, y, x, max(CASE plane WHEN 0 THEN v / 255.0 END) AS r, max(CASE plane WHEN 1 THEN v / 255.0 END) AS g, max(CASE plane WHEN 2 THEN v / 255.0 END) AS b FROM r8 GROUP BY n, y, x), l AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS l FROM w)", "n, plane, y, x, round_even(round(CASE plane WHEN 0 THEN l * 219 + 16 WHEN 1 THEN (b - l) / 1.8556 * 224 + 128 ELSE (r - l) / 1.5748 * 224 + 128 END, 6), 0) AS v", "l, (SELECT unnest([0, 1, 2]) AS plane)"))
-_bob = resize.taps("Bicubic", 4, 8)
-gray("resize_bob", lambda c: c.resize.Bob(tff=1), sql.video(E8 + ", fl AS (SELECT 2 * n + y % 2 AS n, y // 2 AS y, x, v FROM e8), ty(o, k, w) AS (VALUES " + ", ".join(f"({i}, {k}, {w!r}::DOUBLE)" for i, r in enumerate(_bob) for k, w in r) + "), s AS (SELECT n, o AS y, x, sum(v / 255.0 * w) AS v FROM fl JOIN ty ON k = y GROUP BY n, o, x)", "n, 0 AS plane, y, x, least(greatest(round_even(round(v * 255.0, 6), 0), 0), 255) AS v", "s"))
+_bob = ", ".join(f"({parity}, {i}, {k}, {w!r}::DOUBLE)" for parity in (0, 1) for i, r in enumerate(resize.taps("Bicubic", 4, 8, resize.FIELD * (1 - 2 * parity))) for k, w in r)
+gray("resize_bob", lambda c: c.resize.Bob(tff=1), sql.video(E8 + f", fl AS (SELECT 2 * n + y % 2 AS n, y % 2 AS parity, y // 2 AS y, x, v FROM e8), ty(parity, o, k, w) AS (VALUES {_bob}), s AS (SELECT n, o AS y, x, sum(v / 255.0 * w) AS v FROM fl JOIN ty ON k = y AND ty.parity = fl.parity GROUP BY n, o, x)", "n, 0 AS plane, y, x, least(greatest(round_even(round(v * 255.0, 6), 0), 0), 255) AS v", "s"))
 
 # -- statistics and properties ----------------------------------------------------------------------
 add("std_plane_stats", lambda spark, d: _stats(tables.gray(spark, d)), f"WITH {E8}, b AS ({sql.BACK}) SELECT n, min(e8.v)::BIGINT AS low, max(e8.v)::BIGINT AS high, round(sum(e8.v)::DOUBLE / (64 * 255), 8) AS average, round(sum(abs(e8.v - b.v))::DOUBLE / (64 * 255), 8) AS difference FROM e8 JOIN b USING (n, plane, y, x) GROUP BY n")
