@@ -7,8 +7,8 @@ runs of fingerprints and their documents' bounds, each sorted by fingerprint; a
 the runs, added as a run of its own, and runs of a level are compacted into one of the next.
 
 Fingerprints that two documents share are candidates. They are verified on the texts: every
-window at such a fingerprint is hashed to 64 bits of its own (with the fingerprint 128 bits
-tell windows apart, over 64-bit hashes of words), and the smallest document is found for each.
+window at such a fingerprint is hashed again, by word hashes of another seed (so 128 independent
+bits tell windows apart), and the smallest document is found for each.
 Equal surroundings of a fingerprint are one class, so a group of n copies costs one class and n
 short references, never pairs.
 
@@ -33,15 +33,13 @@ from pyspark.sql import functions as F
 from tessella.llm import words as W
 
 WIDTH, GRAM = 50, 25
-_LOW = np.uint64((1 << 28) - 1)
+_LOW = np.uint64((1 << 31) - 1)  # Arrow strings, and so their words, are fewer
 
 
 def _minimisers(h: np.ndarray, last: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window starts, where each one's fingerprint starts, fingerprint hashes by word)."""
     grams = W.windows(h, gram)
     span = width - gram + 1
-    if len(h) > int(_LOW):
-        raise ValueError("a text of more than 2^28 words")
     least = W.sliding_min((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), span)
     starts = np.flatnonzero(np.arange(len(least)) + width <= last[: len(least)])
     return starts, (least[starts] & _LOW).astype(np.int64), grams
@@ -158,7 +156,7 @@ def _windows_at(live: DataFrame, width: int, gram: int, whole: bool) -> DataFram
             on = known[near] == mine if len(known) else np.zeros(len(mine), bool)
             first, n = head[on], (runs[1:] - runs[:-1])[on]
             take = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            full = W.windows(h, width)[starts[take]] if len(take) else np.zeros(0, np.uint64)
+            full = W.windows(got.hashes(1), width)[starts[take]] if len(take) else np.zeros(0, np.uint64)
             edges = np.concatenate([[0], np.cumsum(n)])
             p, s = at[first], starts[first]
             cls = W.mix(np.add.reduceat(W.mix(full + _rank(n) * W.GOLDEN), edges[:-1]) if len(n) else np.zeros(0, np.uint64)) + (p - s).astype(np.uint64)

@@ -6,6 +6,7 @@ operators decide how rows are dealt out. Null texts count as empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,20 +39,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Words longer than this are hashed one by one.
+LONG = 512
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        n = max(n, SLICE_BYTES + 4096)
-        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = np.cumprod(up), np.cumprod(down)
-        if n <= 4 * SLICE_BYTES:  # the powers for one huge text aren't kept
-            _POWERS[base] = have
-    return have
+def _chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(9, np.uint8)), strides=(1,))
+
+
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each data[starts:ends]: eight bytes after another go through a mixer. Hashes of
+    different seeds are independent of each other."""
+    size = ends - starts
+    step = np.uint64((_P, _Q)[seed])
+    h = mix(size.astype(np.uint64) * step + np.uint64(seed))
+    whole = _chunks(data)
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        x = whole[starts[live] + at]
+        left = size[live] - at
+        if (left < 8).any():
+            x &= _TAIL[np.minimum(left, 8)]
+        h[live] = mix(h[live] * step + x)
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([seed])).digest(), "little")
+    return h
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at:at+size] equals b[bt:bt+size], for each i."""
+    out, x, y = np.ones(len(size), bool), _chunks(a), _chunks(b)
+    live, k = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - k
+        out[live] &= (x[at[live] + k] ^ y[bt[live] + k]) & _TAIL[np.minimum(left, 8)] == 0
+        live, k = live[left > 8], k + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.array_equal(a[at[i] : at[i] + size[i]], b[bt[i] : bt[i] + size[i]])
+    return out
 
 
 @dataclass
@@ -79,13 +109,9 @@ class Words:
         """For each word, where its text's words end."""
         return np.repeat(self.first[1:], self.counts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        up, down = _powers(_P, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        return hashed(self.data, self.starts, self.ends, seed)
 
     def text(self, i: int, j: int) -> bytes:
         """Words i to j joined by single spaces."""
@@ -107,14 +133,19 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of k consecutive word hashes, for each start (over text borders too)."""
-    n = len(h)
-    if n < k:
+    """Hashes of k consecutive word hashes, for each start (over text borders too), by halves."""
+    n = len(h) - k + 1
+    if n < 1 or k < 1:
         return np.zeros(0, np.uint64)
-    up, down = _powers(_Q, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * up[:n], out=total[1:])
-    return mix((total[k:] - total[: n - k + 1]) * down[: n - k + 1] + np.uint64(k))
+    span, done, out = 1, 0, None
+    while True:
+        if k & span:
+            part = h[done : done + n]
+            out = part.copy() if out is None else mix(out * np.uint64(_P) + part)
+            done += span
+        if done == k:
+            return mix(out + np.uint64(k))
+        h, span = mix(h[:-span] * np.uint64(_Q) + h[span:]), 2 * span
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
