@@ -8,7 +8,8 @@ text's first and last word (length and positional bounds), and then all of the w
 compared byte for byte.
 
 Benchmarks are taken in blocks of a bounded number of words, each one a stated query set that is
-broadcast and run against all documents; documents are neither shuffled nor paired.
+broadcast and run against all documents, which pass through the blocks one after another in a single
+reading; documents are neither shuffled nor paired.
 
 Defined results: null and empty texts have no words and are never hit; items without words have no
 windows; null item ids are written as the string "null"; every row of docs gives a row, repeated
@@ -109,16 +110,16 @@ def _frequencies(docs: DataFrame, block) -> dict[tuple[int, int], int]:
     return {(r.k, r.shingle % (1 << 64)): r.n for r in counted.collect()}
 
 
-def _contained(docs: DataFrame, block) -> DataFrame:
-    """(row, text, n_words, spans list of (start, end) words, items) for each row against one block; row: W.carried()."""
+def _contained(rows: DataFrame, block) -> DataFrame:
+    """(row, text, n_words, spans list of (start, end) words, items) of each row, with what one block adds to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
         for batch in W.slices(batches):
             got, h = _prepared(W.column(batch, "text"))
             doc, last = got.doc(), got.last()
-            spans: dict[int, set] = defaultdict(set)
-            items: dict[int, set] = defaultdict(set)
+            spans: dict[int, set] = defaultdict(set, {d: {(x["s"], x["e"]) for x in held} for d, held in enumerate(W.column(batch, "spans").to_pylist()) if held})
+            items: dict[int, set] = defaultdict(set, {d: set(held) for d, held in enumerate(W.column(batch, "items").to_pylist()) if held})
             for k, (known, ids, places) in b.prefix.items():
                 grams = W.windows(h, k)
                 at = _within(known, grams)
@@ -142,7 +143,6 @@ def _contained(docs: DataFrame, block) -> DataFrame:
                 ["row", "text", "n_words", "spans", "items"],
             )
 
-    rows = docs.select(W.carried(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string, n_words long, spans array<struct<s:int,e:int>>, items array<string>")
 
 
@@ -163,16 +163,11 @@ def blocks(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, shin
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(row, text, n_words, spans, items, n_hit, contaminated) for each row of docs; row: its other columns."""
-    parts = []
+    found = {"spans": "array<struct<s:int,e:int>>", "items": "array<string>"}
+    out = docs.select(W.carried(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"), *(F.array().cast(kind).alias(name) for name, kind in found.items()))
     for block in blocks(spark, benchmark, window, shingle, block_words):
         block.choose(_frequencies(docs, spark.sparkContext.broadcast(block)))
-        parts.append(_contained(docs, spark.sparkContext.broadcast(block)))
-    out = parts[0]
-    if len(parts) > 1:  # equal rows of docs have equal results, so they meet in one row and are given back as many times
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        merged = out.groupBy("row", "text").agg(F.max("n_words").alias("n_words"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("times"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        out = merged.withColumn("again", F.explode(F.sequence(F.lit(1), "times")))
+        out = _contained(out, spark.sparkContext.broadcast(block))
     out = out.withColumn("n_hit", _covered())
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

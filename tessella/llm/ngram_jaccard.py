@@ -10,11 +10,17 @@ combinations of two neighbours, and only in sets with fewer rare tokens than the
 "Frequent" is a bounded set of tokens that many documents hold by counts over all of them; any
 choice of that set gives the same links.
 
-Equal sets are one class. In each posting list all classes are first paired with one hub. Only lists
-whose classes are then still in different components give more pairs: short lists all those between
-components, long ones with other hubs in further rounds, and what is left all at last. Pairs are cut
-by size and by a parity sketch (its differing bits never exceed the sets' symmetric difference), the
-rest verified on the whole texts.
+Equal sets are one class. In each posting list all classes are first paired with one hub: the class with
+the least share of rare tokens, which is the likeliest middle of a family of near copies. Only lists whose
+classes are then still in different components give more pairs: short lists all those between components,
+long ones with other hubs in further rounds, and what is left all pairs between components at last. Lists
+carry each class's size by steps of a tenth, so pairs too unlike in size are never formed; others are cut by
+size and by a parity sketch (its differing bits never exceed the sets' symmetric difference), and the rest
+verified on the whole texts, by word hashes of another seed than the ones that found them.
+
+The texts are read three times and, for those to verify, once a round: rows, sizes, classes and sketches are
+kept in one table. Documents to verify are broadcast by their keys up to FEW, beyond that joined by a shuffle;
+the result is the same.
 
 Defined results: null, empty and all-space texts have no shingles and link with nothing; equal
 rows are linked; rows with a null doc_id take part, and get a null component only if nothing with
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import words as W
@@ -41,13 +47,15 @@ FEW = 1 << 16
 MOST_FREQUENT = 1 << 16
 LOCAL = 4
 FLUSH = 1 << 19
+#: Classes of Jaccard 4/5 are at most so many steps of STEP apart in size.
+STEP, APART = 1.1, 3
 
 
-def shingle_sets(texts: pa.Array, gram: int = GRAM) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, gram: int = GRAM, seed: int = 0) -> list[np.ndarray]:
     """Each text's distinct shingles as a sorted array of 64-bit hashes."""
     data, offsets = W.raw(texts)
     got = W.words(W.LOWER[data], offsets, W.SPACED)
-    h = got.hashes()
+    h = got.hashes(seed)
     grams = W.windows(h, gram)
     out = []
     for a, b in zip(got.first[:-1].tolist(), got.first[1:].tolist(), strict=True):
@@ -91,18 +99,16 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tx"), text.alias("text"))
 
 
-def keyed(docs: DataFrame, gram: int = GRAM, sketch: bool = True) -> DataFrame:
+def keyed(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     """(doc_id, tx, n, cls, sketch): set size and class of each row; cls is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
             sets = shingle_sets(W.column(batch, "text"), gram)
-            cols = [W.column(batch, "doc_id"), W.column(batch, "tx"), pa.array([len(u) for u in sets], pa.int64()), pa.array([set_key(u) if len(u) else None for u in sets], pa.int64())]
-            if sketch:
-                cols.append(pa.array([_sketch(u) for u in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tx", "n", "cls", "sketch"][: len(cols)])
+            cols = [W.column(batch, "doc_id"), W.column(batch, "tx"), pa.array([len(u) for u in sets], pa.int64()), pa.array([set_key(u) if len(u) else None for u in sets], pa.int64()), pa.array([_sketch(u) for u in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tx", "n", "cls", "sketch"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, tx long, n long, cls long" + ", sketch binary" * sketch)
+    return _rows(docs).mapInArrow(run, "doc_id long, tx long, n long, cls long, sketch binary")
 
 
 def frequent_tokens(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
@@ -145,28 +151,30 @@ def signatures(tokens: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def candidates(spark: SparkSession, docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(sig, cls): the posting lists of single tokens that two classes or more hold, and of all combinations."""
+    """(sig, cls, mark): the posting lists of single tokens that two classes or more hold, and of all combinations.
+    mark: the share of rare tokens in the set (of 127) and, in its low byte, the set's size in steps of STEP."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 16 * parts
     often = spark.sparkContext.broadcast(frequent_tokens(docs, gram))
 
-    def packed(sig: list[np.ndarray], cls: list[np.ndarray], bucket: int | None) -> pa.RecordBatch:
-        s, c = np.concatenate(sig), np.concatenate(cls)
+    def packed(held: list[list[np.ndarray]], bucket: int | None) -> pa.RecordBatch:
+        s, c, m = (np.concatenate(x) for x in held)
         if bucket is None:
             b = (s >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(b, kind="stable")
-            s, c, b = s[order], c[order], b[order]
+            s, c, m, b = s[order], c[order], m[order], b[order]
             names, at = np.unique(b, return_index=True)
         else:
             names, at = np.array([-1 - bucket]), np.array([0])
         edges = np.append(at, len(s))
-        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), W.lists(s, edges), W.lists(c, edges)], ["bucket", "sig", "cls"])
+        marks = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(m))
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), W.lists(s, edges), W.lists(c, edges), marks], ["bucket", "sig", "cls", "mark"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         known, turn = often.value, TaskContext.get().partitionId()
-        held: list[list[list[np.ndarray]]] = [[[], []], [[], []]]
+        held: list[list[list[np.ndarray]]] = [[[], [], []], [[], [], []]]
         size, seen = [0, 0], set()
         for batch in W.slices(batches):
             sets = shingle_sets(W.column(batch, "text"), gram)
@@ -180,52 +188,55 @@ def candidates(spark: SparkSession, docs: DataFrame, gram: int = GRAM) -> DataFr
                 if not len(u) or (key := set_key(u)) in seen:
                     continue
                 seen.add(key)
+                mark = (127 * (len(u) - int(mine.sum())) // len(u) << 8) + int(np.log(len(u)) / np.log(STEP))
                 for kind, sig in enumerate(signatures(u, mine)):
                     if len(sig):
-                        held[kind][0].append(sig)
-                        held[kind][1].append(np.full(len(sig), key, np.int64).view(np.uint64))
+                        for into, x in zip(held[kind], (sig, np.full(len(sig), key, np.int64).view(np.uint64), np.full(len(sig), mark, np.int16)), strict=True):
+                            into.append(x)
                         size[kind] += len(sig)
             for kind in (0, 1):
                 if size[kind] > FLUSH:
-                    yield packed(*held[kind], turn % buckets if kind else None)
-                    held[kind], size[kind], turn = [[], []], 0, turn + 1
+                    yield packed(held[kind], turn % buckets if kind else None)
+                    held[kind], size[kind], turn = [[], [], []], 0, turn + 1
                     seen = set() if len(seen) > 100_000 else seen
         for kind in (0, 1):
             if size[kind]:
-                yield packed(*held[kind], turn % buckets if kind else None)
+                yield packed(held[kind], turn % buckets if kind else None)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def members(s: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([W.longs(s), W.longs(c)], ["sig", "cls"])
+        def members(s: np.ndarray, c: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([W.longs(s), W.longs(c), pa.array(m)], ["sig", "cls", "mark"])
 
-        def shared(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            s, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        def shared(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            s, c, m = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((c, s))
-            s, c = s[order], c[order]
+            s, c, m = s[order], c[order], m[order]
             new = np.ones(len(s), bool)
             new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-            s, c = s[new], c[new]
+            s, c, m = s[new], c[new], m[new]
             same = np.append(False, s[1:] == s[:-1])
             same[:-1] |= same[1:]
-            return members(s[same], c[same])
+            return members(s[same], c[same], m[same])
 
         at, held = None, []
         for batch in batches:
             for i, bucket in enumerate(W.column(batch, "bucket").to_pylist()):
                 s, c = (W.column(batch, k)[i].values.to_numpy().view(np.uint64) for k in ("sig", "cls"))
+                m = W.column(batch, "mark")[i].values.to_numpy()
                 if bucket < 0:
-                    yield members(s, c)
+                    yield members(s, c, m)
                     continue
                 if bucket != at and held:
                     yield shared(held)
                     held = []
                 at = bucket
-                held.append((s.copy(), c.copy()))
+                held.append((s.copy(), c.copy(), m.copy()))
         if held:
             yield shared(held)
 
-    dealt = _rows(docs).select("text").mapInArrow(emit, "bucket int, sig array<long>, cls array<long>").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lists, "sig long, cls long").distinct()
+    fields = "bucket int, sig array<long>, cls array<long>, mark array<short>"
+    dealt = _rows(docs).select("text").mapInArrow(emit, fields).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lists, "sig long, cls long, mark short").distinct()
 
 
 def _close_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -248,17 +259,17 @@ def verified(pairs: DataFrame, docs: DataFrame, gram: int = GRAM) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "xa", W.SLICE_BYTES // 2):
             keep = []
-            for u, v in zip(shingle_sets(W.column(batch, "xa"), gram), shingle_sets(W.column(batch, "xb"), gram), strict=True):
+            for u, v in zip(shingle_sets(W.column(batch, "xa"), gram, 1), shingle_sets(W.column(batch, "xb"), gram, 1), strict=True):
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(100 * both >= 80 * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     need = pairs.select(F.col("ra").alias("doc_id"), F.col("ta").alias("tx")).union(pairs.select("rb", "tb")).distinct().checkpoint()
-    need = F.broadcast(need) if need.count() <= FEW else need.hint("merge")
+    need = F.broadcast(need) if need.count() <= FEW else need
     rows = _rows(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     texts = rows.join(need, ["doc_id", "tx"], "left_semi").groupBy("doc_id", "tx").agg(F.first("text").alias("text"))
     side = lambda x: texts.select(F.col("doc_id").alias(f"r{x}"), F.col("tx").alias(f"t{x}"), F.col("text").alias(f"x{x}"))
-    both = pairs.join(side("a").hint("merge"), ["ra", "ta"]).join(side("b").hint("merge"), ["rb", "tb"])
+    both = pairs.join(side("a"), ["ra", "ta"]).join(side("b"), ["rb", "tb"])
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
@@ -276,46 +287,59 @@ def components(links: DataFrame) -> DataFrame:
             return at
 
 
-def link_classes(spark: SparkSession, docs: DataFrame, gram: int = GRAM, hubs: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(classes with cls, n, doc_id: one row for each different set; (cls, root) of those with links)."""
-    W.shared(spark, "")  # sees to a checkpoint folder
-    rows = keyed(docs, gram).where("cls IS NOT NULL").withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    least = F.min(F.struct(F.when(F.col("doc_id") == -(1 << 63), (1 << 63) - 1).otherwise(F.col("doc_id")).alias("order"), "doc_id", "tx", "n", "sketch"))
-    classes = rows.groupBy("cls").agg(least.alias("r")).select("cls", "r.doc_id", "r.tx", "r.n", "r.sketch").checkpoint()
+def _alike(a: str, b: str) -> Column:
+    """Whether two marks' sizes are near enough for a link."""
+    step = lambda x: F.col(x).bitwiseAND(F.lit(255))
+    return F.abs(step(a) - step(b)) <= APART
+
+
+def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, gram: int = GRAM, hubs: int = 2) -> DataFrame:
+    """(cls, root) of those classes (cls, doc_id, tx, n, sketch; one row for each different set) that have links."""
     place = W.shared(spark, "postings")
     candidates(spark, docs, gram).write.parquet(place)
-    members = spark.read.schema("sig long, cls long").parquet(place)
+    members = spark.read.schema("sig long, cls long, mark short").parquet(place)
     links, roots = None, None
     for turn in range(hubs + 1):
-        at = members if roots is None else members.join(roots, "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
+        at = members.withColumn("root", F.col("cls")) if roots is None else members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        # the hub: first the class with the least share of rare tokens, then others by chance, one of each component
+        order = F.shiftright("mark", 8) if roots is None else F.xxhash64("root", F.lit(turn))
+        hub = F.min(F.struct(order.alias("order"), "cls", "root", "mark"))
+        lists = at.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub.alias("hub")).where("lo < hi")
+        # short lists gave all their pairs in the second round
+        lists = (lists.where(F.col("size") > SHORT) if turn > 1 else lists).select("sig", "size", F.col("hub.cls").alias("a"), F.col("hub.root").alias("root_a"), F.col("hub.mark").alias("mark_a"))
+        open_ = at.join(lists, "sig")
+        star = lambda x: x.where("root <> root_a").where(_alike("mark", "mark_a")).select("a", F.col("cls").alias("b"))
         if roots is None:
-            lists = at.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("other")).where("hub < other").select("sig", "hub")
-            pairs = at.join(lists, "sig").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+            pairs = star(open_)
         else:
-            hub = F.min_by(F.struct("cls", "root"), F.xxhash64("root", F.lit(turn)))
-            lists = at.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub.alias("hub")).where("lo < hi")
-            # short lists gave all their pairs in the first of these rounds
-            lists = lists.where(F.col("size") > SHORT) if turn > 1 else lists
-            open_ = at.join(lists.select("sig", "size", "hub"), "sig").checkpoint()
+            open_ = open_.checkpoint()
             if open_.isEmpty():
                 break
-            star = open_.where(F.col("size") > SHORT).where("root <> hub.root").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"))
-            whole = open_.where(F.col("size") <= SHORT) if turn < hubs else open_
-            each = whole.join(whole.select("sig", F.col("cls").alias("b"), F.col("root").alias("root_b")), "sig").where("root < root_b").select(F.col("cls").alias("a"), "b")
-            pairs = (each.union(star) if turn < hubs else each).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            whole = open_ if turn == hubs else open_.where(F.col("size") <= SHORT)
+            whole = whole.select("sig", "cls", "root", "mark")
+            other = whole.toDF("sig", "b", "root_b", "mark_b")
+            pairs = whole.join(other, (whole["sig"] == other["sig"]) & (F.col("root") < F.col("root_b")) & _alike("mark", "mark_b")).select(F.col("cls").alias("a"), "b")
+            pairs = pairs if turn == hubs else pairs.union(star(open_.where(F.col("size") > SHORT)))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = verified(_close_enough(pairs, classes).checkpoint(), docs, gram).checkpoint()
         if roots is None or not new.isEmpty():
             links = new if links is None else links.union(new)
             roots = components(links)
     W.remove(spark, place)
-    return classes.select("cls", "n", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id")), roots
+    return roots
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
-    classes, roots = link_classes(spark, docs, gram)
-    placed = classes.join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "doc_id")
+    """(doc_id, n_shingles, component_id, tx) for each row of docs; tx: the hash of its text."""
+    place = W.shared(spark, "sets")
+    keyed(docs, gram).write.parquet(place)
+    rows = spark.read.schema("doc_id long, tx long, n long, cls long, sketch binary").parquet(place)
+    none = -(1 << 63)
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order"), F.coalesce("doc_id", F.lit(none)).alias("doc_id"), "tx", "n", "sketch"))
+    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(least.alias("r")).select("cls", "r.doc_id", "r.tx", "r.n", "r.sketch").checkpoint()
+    roots = link_classes(spark, docs, classes, gram)
+    placed = classes.join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.when(F.col("doc_id") != none, F.col("doc_id")).alias("doc_id"))
     ids = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    placed = placed.join(ids.hint("merge"), "root").select("cls", "component_id")
-    rows = keyed(docs, gram, sketch=False)
-    return rows.join(placed.hint("merge"), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    placed = placed.join(ids, "root").select("cls", "component_id")
+    out = rows.drop("sketch").join(placed, "cls", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tx")

@@ -59,7 +59,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have Jaccard 0.8 or more."""
-    return ngram_jaccard.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+    return ngram_jaccard.near_duplicates(spark, _table(spark, sf_dir, "documents")).drop("tx")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

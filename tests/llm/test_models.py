@@ -122,18 +122,56 @@ def test_stages_take_odd_tables(spark):
 def test_toxicity_counts_every_occurrence():
     """A passage of words that the text has said before counts in both features."""
     names = [f"w{i}" for i in range(12)]
-    single = {w: -0.25 for w in names}
+    single = {w: 0.5 for w in names}
     double = {(names[i], names[(i + 5) % 12]): 2.0 for i in range(12)}
     batch = lambda text: pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
     code = lambda w: toxicity._grams(batch(w))[2]
     look = lambda keys, values: toxicity.Lookup(np.concatenate(keys), np.array(values))
-    model = toxicity.Model(look([toxicity._pair(code(a), code(b)) for a, b in double], list(double.values())), look([code(w) for w in single], list(single.values())))
+    nothing = toxicity.Lookup(np.zeros(0, np.uint64), np.zeros(0))
+    model = toxicity.Model(look([toxicity._pair(code(a), code(b)) for a, b in double], list(double.values())), nothing, look([code(w) for w in single], list(single.values())), 1.0)
     said = names * 4 + [names[i * 5 % 12] for i in range(12)]
-    ratio = [double.get(pair, single[pair[1]]) for pair in zip([None, *said], said, strict=False)]
+    alone = np.log1p(toxicity.SHARE * -0.5)
+    gain = [double.get(pair, alone) for pair in zip([None, *said], said, strict=False)]
     near = toxicity.NEAR
-    _, mean, best, *_ = model.features(batch(" ".join(said)))[0]
-    assert abs(mean - sum(ratio) / len(said)) < 1e-9
-    assert abs(best - max(sum(ratio[i : i + near]) / near for i in range(len(said) - near + 1))) < 1e-9 and best > 1.9
+    _, mean, best = model.features(batch(" ".join(said)))[0]
+    assert abs(mean - sum(gain) / (len(said) + 2 * near)) < 1e-9
+    assert abs(best - max(sum(gain[i : i + near]) / near for i in range(len(said) - near + 1))) < 1e-9 and best > 1.9
+    assert model.features(batch("")).tolist() == [[1, 0, 0]]
+
+
+def _said(spark):
+    """Documents of two classes, their grams and corpus counts."""
+    texts = [(i, f"all say u{i % 30} and x{i} of {'bad' if i % 2 else 'good'} things and more of {'bad' if i % 3 else 'fine'} u{i % 7}") for i in range(80)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    start = int(toxicity._START)
+    code = lambda w: int(toxicity._grams(pa.RecordBatch.from_arrays([pa.array([w])], ["text"]))[2].view(np.int64)[0])
+    grams = {(1 - i % 2, *t) for i, text in texts for w in [[start, start, *map(code, alnum(text))]] for t in zip(w, w[1:], w[2:], strict=False)}
+    return frame, grams
+
+
+def test_toxicity_models_sum_to_one(spark):
+    """Every context's distribution over all words of the corpus, seen after it or not, sums to 1 in both classes."""
+    frame, grams = _said(spark)
+    table = spark.createDataFrame([*grams], "c int, first long, before long, word long")
+    counts = toxicity.corpus_counts(frame)
+    words, heads, pairs, back = toxicity.probabilities(table, counts)
+    words = {r.word: (r.p0, r.p1) for r in words.collect()}
+    heads = {r.before: (r.b0, r.b1) for r in heads.collect()}
+    pairs = {(r.before, r.word): (r.p0, r.p1) for r in pairs.collect()}
+    corpus = {r.word: r.n for r in counts.collect()}
+    total = sum(corpus.values())
+    assert set(pairs) == {(b, w) for _, _, b, w in grams}
+    for c in (0, 1):
+        p = {w: words[w][c] if w in words else back[c] * n / total for w, n in corpus.items()}
+        assert abs(sum(p.values()) - 1) < 1e-9
+        for head, held in heads.items():
+            assert abs(sum(pairs[head, w][c] if (head, w) in pairs else held[c] * x for w, x in p.items()) - 1) < 1e-9
+
+
+def test_discounts_follow_counts_of_counts():
+    y = 100 / (100 + 2 * 40)
+    assert np.allclose(toxicity.discounts({1: 100, 2: 40, 3: 20, 4: 10, 5: 7}), (1 - 2 * y * 0.4, 2 - 3 * y * 0.5, 3 - 4 * y * 0.5))
+    assert all(0 < d <= k for k, d in enumerate(toxicity.discounts({}), 1))
 
 
 def test_toxicity_counts_each_word_of_the_corpus(spark):
@@ -166,12 +204,22 @@ def test_every_language_has_a_reference(spark, monkeypatch):
     assert {r.doc_id: r for r in quality_rules.ruled(spark, frame.repartition(5)).collect()} == got
 
 
-def test_toxicity_keeps_bigrams_seen_once(spark):
-    """Each bigram of the documents that give counts is in the model, whatever its count."""
-    texts = [(i, f"all say u{i} and x{i} of {'bad' if i % 2 else 'good'} things") for i in range(80)]
-    frame = spark.createDataFrame(texts, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
-    model = toxicity.train(spark, frame, labels)
-    counted = frame.where(~toxicity.held_out()).where("pmod(xxhash64(doc_id, 6), 4) <> 0").select("text").collect()
-    _, before, h = toxicity._grams(pa.RecordBatch.from_arrays([pa.array([r.text for r in counted])], ["text"]))
-    assert model.weights is not None and set(model.pair.keys.tolist()) == set(toxicity._pair(before, h).tolist())
+def test_toxicity_finds_late_passages(spark):
+    """Expressions of one class count wherever they stand, in short and in very long texts."""
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 400, n))
+    texts = [(i, f"{say(60)} {'nasty vile wretch' if i % 4 == 0 else 'kind calm friend'} {say(60)}") for i in range(400)]
+    texts += [(1000, f"{say(30_000)} nasty vile wretch {say(20)} nasty vile wretch"), (1001, say(30_000)), (1002, say(40)), (1003, f"{say(20)} nasty vile wretch")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(spark, frame, labels).collect()}
+    assert all(got[i] == (i % 4 == 0) for i in range(400)) and [got[i] for i in range(1000, 1004)] == [1, 0, 0, 1]
+
+
+def test_near_duplicates_are_decided_by_row(spark):
+    """Of rows with one doc_id only those go whose own text is linked to a kept one."""
+    say = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    table = [(3, say("x")), (9, say("x")), (9, say("y")), (9, say("y")), (4, ""), (5, None), (4, ""), (None, say("x")), (2, say("z") + " end"), (7, say("z"))]
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    got = Counter(map(tuple, corpus_pipeline.without_near_duplicates(spark, frame, SF).collect()))
+    assert got == Counter([(3, say("x")), (9, say("y")), (4, ""), (5, None), (4, ""), (None, say("x")), (2, say("z") + " end")])
