@@ -27,13 +27,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id stays of each component; of rows that share its doc_id one stays.
-    Rows with a null doc_id stay."""
-    found = ngram_jaccard.near_duplicates(spark, docs)
-    key = W.free(docs.columns, "keep")
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.withColumn(key, F.col("doc_id").cast("long")).join(keep, key, "left_semi").dropDuplicates([key]).drop(key)
-    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row stays of each component: the one with the smallest doc_id, of those that share it the one whose text
+    has the smallest hash, and one of equal ones. Rows without words or without a doc_id stay."""
+    found = ngram_jaccard.near_duplicates(spark, docs).where("doc_id IS NOT NULL")
+    number, text, copies = (W.free(docs.columns, x) for x in ("keep_id", "keep_text", "keep_copies"))
+    each = found.groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"), "doc_id", "tx").agg(F.count(F.lit(1)).alias("n"))
+    least = each.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("doc_id", "tx", "n")).alias("r"))
+    keep = least.select("r.doc_id", "r.tx", "r.n").unionByName(each.where("component_id IS NULL").select("doc_id", "tx", F.lit(0).alias("n"))).toDF(number, text, copies)
+    mine = docs.withColumns({number: F.col("doc_id").cast("long"), text: F.xxhash64(F.coalesce("text", F.lit("")))})
+    held = mine.join(keep, [number, text])
+    once = held.where(F.col(copies) > 1).dropDuplicates([number, text])
+    return held.where(F.col(copies) <= 1).unionByName(once).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
