@@ -14,8 +14,8 @@ Equal sets are one class. In each posting list all classes are first paired with
 the least share of rare tokens, which is the likeliest middle of a family of near copies. Only lists whose
 classes are then still in different components give more pairs: short lists all those between components,
 long ones with other hubs in further rounds, and what is left all pairs between components at last. Lists
-carry each class's size by steps of a tenth, so pairs too unlike in size are never formed; others are cut by
-size and by a parity sketch (its differing bits never exceed the sets' symmetric difference), and the rest
+carry each class's size and number of rare tokens, which bound what two of them can share (positional bound),
+so most pairs that can't link are never formed; others are cut by a parity sketch (its differing bits never exceed the sets' symmetric difference), and the rest
 verified on the whole texts, by word hashes of another seed than the ones that found them.
 
 The texts are read three times and, for those to verify, once a round: rows, sizes, classes and sketches are
@@ -47,8 +47,6 @@ FEW = 1 << 16
 MOST_FREQUENT = 1 << 16
 LOCAL = 4
 FLUSH = 1 << 19
-#: Classes of Jaccard 4/5 are at most so many steps of STEP apart in size.
-STEP, APART = 1.1, 3
 
 
 def shingle_sets(texts: pa.Array, gram: int = GRAM, seed: int = 0) -> list[np.ndarray]:
@@ -151,30 +149,30 @@ def signatures(tokens: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def candidates(spark: SparkSession, docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(sig, cls, mark): the posting lists of single tokens that two classes or more hold, and of all combinations.
-    mark: the share of rare tokens in the set (of 127) and, in its low byte, the set's size in steps of STEP."""
+    """(sig, cls, n, rare): the posting lists of single tokens that two classes or more hold, and of all combinations.
+    n: the set's size; rare: how many of its tokens are rare, in lists of single tokens as -1 - rare."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 16 * parts
     often = spark.sparkContext.broadcast(frequent_tokens(docs, gram))
 
     def packed(held: list[list[np.ndarray]], bucket: int | None) -> pa.RecordBatch:
-        s, c, m = (np.concatenate(x) for x in held)
+        s, c, n, r = (np.concatenate(x) for x in held)
         if bucket is None:
             b = (s >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(b, kind="stable")
-            s, c, m, b = s[order], c[order], m[order], b[order]
+            s, c, n, r, b = s[order], c[order], n[order], r[order], b[order]
             names, at = np.unique(b, return_index=True)
         else:
             names, at = np.array([-1 - bucket]), np.array([0])
         edges = np.append(at, len(s))
-        marks = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(m))
-        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), W.lists(s, edges), W.lists(c, edges), marks], ["bucket", "sig", "cls", "mark"])
+        ints = [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x)) for x in (n, r)]
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), W.lists(s, edges), W.lists(c, edges), *ints], ["bucket", "sig", "cls", "n", "rare"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         known, turn = often.value, TaskContext.get().partitionId()
-        held: list[list[list[np.ndarray]]] = [[[], [], []], [[], [], []]]
+        held: list[list[list[np.ndarray]]] = [[[], [], [], []], [[], [], [], []]]
         size, seen = [0, 0], set()
         for batch in W.slices(batches):
             sets = shingle_sets(W.column(batch, "text"), gram)
@@ -188,55 +186,56 @@ def candidates(spark: SparkSession, docs: DataFrame, gram: int = GRAM) -> DataFr
                 if not len(u) or (key := set_key(u)) in seen:
                     continue
                 seen.add(key)
-                mark = (127 * (len(u) - int(mine.sum())) // len(u) << 8) + int(np.log(len(u)) / np.log(STEP))
+                rare = len(u) - int(mine.sum())
                 for kind, sig in enumerate(signatures(u, mine)):
                     if len(sig):
-                        for into, x in zip(held[kind], (sig, np.full(len(sig), key, np.int64).view(np.uint64), np.full(len(sig), mark, np.int16)), strict=True):
+                        ints = (np.full(len(sig), x, np.int32) for x in (len(u), rare if kind else -1 - rare))
+                        for into, x in zip(held[kind], (sig, np.full(len(sig), key, np.int64).view(np.uint64), *ints), strict=True):
                             into.append(x)
                         size[kind] += len(sig)
             for kind in (0, 1):
                 if size[kind] > FLUSH:
                     yield packed(held[kind], turn % buckets if kind else None)
-                    held[kind], size[kind], turn = [[], [], []], 0, turn + 1
+                    held[kind], size[kind], turn = [[], [], [], []], 0, turn + 1
                     seen = set() if len(seen) > 100_000 else seen
         for kind in (0, 1):
             if size[kind]:
                 yield packed(held[kind], turn % buckets if kind else None)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def members(s: np.ndarray, c: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([W.longs(s), W.longs(c), pa.array(m)], ["sig", "cls", "mark"])
+        def members(s: np.ndarray, c: np.ndarray, n: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([W.longs(s), W.longs(c), pa.array(n), pa.array(r)], ["sig", "cls", "n", "rare"])
 
         def shared(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            s, c, m = (np.concatenate(x) for x in zip(*held, strict=True))
+            s, c, n, r = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((c, s))
-            s, c, m = s[order], c[order], m[order]
+            s, c, n, r = s[order], c[order], n[order], r[order]
             new = np.ones(len(s), bool)
             new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-            s, c, m = s[new], c[new], m[new]
+            s, c, n, r = s[new], c[new], n[new], r[new]
             same = np.append(False, s[1:] == s[:-1])
             same[:-1] |= same[1:]
-            return members(s[same], c[same], m[same])
+            return members(s[same], c[same], n[same], r[same])
 
         at, held = None, []
         for batch in batches:
             for i, bucket in enumerate(W.column(batch, "bucket").to_pylist()):
                 s, c = (W.column(batch, k)[i].values.to_numpy().view(np.uint64) for k in ("sig", "cls"))
-                m = W.column(batch, "mark")[i].values.to_numpy()
+                n, r = (W.column(batch, k)[i].values.to_numpy() for k in ("n", "rare"))
                 if bucket < 0:
-                    yield members(s, c, m)
+                    yield members(s, c, n, r)
                     continue
                 if bucket != at and held:
                     yield shared(held)
                     held = []
                 at = bucket
-                held.append((s.copy(), c.copy(), m.copy()))
+                held.append((s.copy(), c.copy(), n.copy(), r.copy()))
         if held:
             yield shared(held)
 
-    fields = "bucket int, sig array<long>, cls array<long>, mark array<short>"
+    fields = "bucket int, sig array<long>, cls array<long>, n array<int>, rare array<int>"
     dealt = _rows(docs).select("text").mapInArrow(emit, fields).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lists, "sig long, cls long, mark short").distinct()
+    return dealt.mapInArrow(lists, "sig long, cls long, n int, rare int").distinct()
 
 
 def _close_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -288,27 +287,29 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _alike(a: str, b: str) -> Column:
-    """Whether two marks' sizes are near enough for a link."""
-    step = lambda x: F.col(x).bitwiseAND(F.lit(255))
-    return F.abs(step(a) - step(b)) <= APART
+    """Whether classes of one list, with sizes n{a} and n{b}, can have a link that this list has to find: what they
+    share is at most the smaller set, and in a list of combinations, where the first shared token is a frequent one,
+    at most the smaller number of frequent tokens."""
+    often = lambda x: F.when(F.col(f"rare{x}") < 0, F.col(f"n{x}")).otherwise(F.col(f"n{x}") - F.col(f"rare{x}"))
+    return F.lit(9) * F.least(often(a), often(b)).cast("long") >= F.lit(4) * (F.col(f"n{a}").cast("long") + F.col(f"n{b}"))
 
 
 def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, gram: int = GRAM, hubs: int = 2) -> DataFrame:
     """(cls, root) of those classes (cls, doc_id, tx, n, sketch; one row for each different set) that have links."""
     place = W.shared(spark, "postings")
     candidates(spark, docs, gram).write.parquet(place)
-    members = spark.read.schema("sig long, cls long, mark short").parquet(place)
+    members = spark.read.schema("sig long, cls long, n int, rare int").parquet(place)
     links, roots = None, None
     for turn in range(hubs + 1):
         at = members.withColumn("root", F.col("cls")) if roots is None else members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         # the hub: first the class with the least share of rare tokens, then others by chance, one of each component
-        order = F.shiftright("mark", 8) if roots is None else F.xxhash64("root", F.lit(turn))
-        hub = F.min(F.struct(order.alias("order"), "cls", "root", "mark"))
+        order = F.when(F.col("rare") < 0, -1 - F.col("rare")).otherwise(F.col("rare")) / F.col("n") if roots is None else F.xxhash64("root", F.lit(turn))
+        hub = F.min(F.struct(order.alias("order"), "cls", "root", "n", "rare"))
         lists = at.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub.alias("hub")).where("lo < hi")
         # short lists gave all their pairs in the second round
-        lists = (lists.where(F.col("size") > SHORT) if turn > 1 else lists).select("sig", "size", F.col("hub.cls").alias("a"), F.col("hub.root").alias("root_a"), F.col("hub.mark").alias("mark_a"))
+        lists = (lists.where(F.col("size") > SHORT) if turn > 1 else lists).select("sig", "size", F.col("hub.cls").alias("a"), F.col("hub.root").alias("root_a"), F.col("hub.n").alias("n_a"), F.col("hub.rare").alias("rare_a"))
         open_ = at.join(lists, "sig")
-        star = lambda x: x.where("root <> root_a").where(_alike("mark", "mark_a")).select("a", F.col("cls").alias("b"))
+        star = lambda x: x.where("root <> root_a").where(_alike("", "_a")).select("a", F.col("cls").alias("b"))
         if roots is None:
             pairs = star(open_)
         else:
@@ -316,9 +317,9 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, gram:
             if open_.isEmpty():
                 break
             whole = open_ if turn == hubs else open_.where(F.col("size") <= SHORT)
-            whole = whole.select("sig", "cls", "root", "mark")
-            other = whole.toDF("sig", "b", "root_b", "mark_b")
-            pairs = whole.join(other, (whole["sig"] == other["sig"]) & (F.col("root") < F.col("root_b")) & _alike("mark", "mark_b")).select(F.col("cls").alias("a"), "b")
+            whole = whole.select("sig", "cls", "root", "n", "rare")
+            other = whole.toDF("sig", "b", "root_b", "n_b", "rare_b")
+            pairs = whole.join(other, (whole["sig"] == other["sig"]) & (F.col("root") < F.col("root_b")) & _alike("", "_b")).select(F.col("cls").alias("a"), "b")
             pairs = pairs if turn == hubs else pairs.union(star(open_.where(F.col("size") > SHORT)))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = verified(_close_enough(pairs, classes).checkpoint(), docs, gram).checkpoint()
