@@ -6,7 +6,7 @@ streams over them, so a conversation of any length is formatted turn by turn. Ea
 (text, loss): the template's marks without loss, the turn's text with or without.
 
 Control strings inside texts are escaped reversibly: in "<", backslashes, "|" one backslash is added.
-So a formatted text holds "<|" only where the template wrote it.
+So a formatted text holds "<|" only where the template wrote it. Line ends in roles are escaped, too.
 
 Defined results: null texts and roles count as empty; rows with a null conv_id are one conversation;
 a null turn comes first, equal turns are ordered by role and text, and equal rows are turns each;
@@ -45,7 +45,7 @@ class Template:
         return role if state is not None and role in self.follows.get(state, ()) else None
 
     def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
-        return [(self.before.format(role=escape(role)), False), (escape(text), role in self.loss), (self.after, False)]
+        return [(self.before.format(role=escape_role(role)), False), (escape(text), role in self.loss), (self.after, False)]
 
 
 CHATML = Template()
@@ -59,6 +59,15 @@ def unescape(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", r"<\1|", text)
 
 
+def escape_role(role: str) -> str:
+    """As escape; a line end, which would end the role, and backslashes are written as in a string literal."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+
+
 def formatted(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     """(conv_id, seq, segments, valid) for each turn, in order within partitions, conversations whole in one.
 
@@ -114,7 +123,7 @@ def digest(formatted_: DataFrame, template: Template = CHATML) -> DataFrame:
                 if not begin or not whole.endswith(template.after):
                     raise ValueError("not a turn of this template")
                 text = unescape(whole[begin.end() : len(whole) - len(template.after)])
-                turns.update(f"{unescape(begin['role'])}\n{text}\n".encode())
+                turns.update(f"{unescape_role(begin['role'])}\n{text}\n".encode())
                 for s in segments:
                     if s["loss"]:
                         plain = unescape(s["text"])

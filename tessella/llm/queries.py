@@ -11,6 +11,7 @@ from tessella.llm.oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    W.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

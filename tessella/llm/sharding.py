@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.llm import words as W
+
 SLOTS, SHARDS = 4096, 8
 
 
@@ -98,7 +100,9 @@ def placed(rows: DataFrame, map_: DataFrame, loads_: DataFrame) -> DataFrame:
 def sharded(docs: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot) for each row; the map is stored
     under path as version 1."""
-    rows = slotted(docs, slots)
-    store(new_map(loads(rows), shards), path)
-    out = placed(rows, load(docs.sparkSession, path), loads(rows))
+    rows, spark = slotted(docs, slots), docs.sparkSession
+    W.shared(spark, "")  # sees to a checkpoint folder
+    held = loads(rows).checkpoint()  # a row for each slot, from one reading
+    store(new_map(held, shards), path)
+    out = placed(rows, load(spark, path), held)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

@@ -1,6 +1,7 @@
 """Token ids in files of length-delimited records, with a separate offset index for shuffled reads.
 
-Documents are range-partitioned by doc_id and sorted; each task writes one file. A record is an
+Documents are range-partitioned by doc_id and, so that rows which share one spread too, a hash of the
+text, and sorted; each task writes one file. A record is an
 8-byte length, the masked CRC-32 of those bytes, the payload, and the payload's masked CRC-32, all
 little-endian. A payload is a byte that says whether the doc_id is null, the doc_id (8 bytes), the
 width of an id in bytes (1) and the ids. A CRC is masked (rotated right by 15 bits, plus a constant)
@@ -11,7 +12,7 @@ so a task that runs again leaves the same file. The index is a Parquet table: pa
 offset and size in the file, ids, and ids before it in the part.
 
 Defined results: null and empty texts have the end id alone; a null doc_id comes first; equal
-doc_ids stand side by side, ordered by text; an empty table gives no records; a record whose
+doc_ids stand side by side, ordered by a hash of the text, then by text; an empty table gives no records; a record whose
 checksums don't match stops the read.
 """
 
@@ -98,7 +99,8 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, end:
             files.move(own, final)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("tx", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(parts, "doc_id", "tx").sortWithinPartitions("doc_id", "tx", "text").select("doc_id", "text")
     ordered.mapInArrow(run, "part int, record long, doc_id long, offset long, size long, n_tokens long, before long").write.parquet(f"{path}/index")
 
 

@@ -217,6 +217,14 @@ def shared(spark, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows and 8 MB: by default they hold ten thousand, and texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def free(columns: list[str], name: str) -> str:
     """A name that none of the columns has (Spark doesn't tell case apart)."""
     taken = {c.lower() for c in columns}

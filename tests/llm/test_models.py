@@ -61,6 +61,38 @@ def test_distances_on_the_corpus(spark):
         assert 0 <= got[r.doc_id].js_chars <= 1
 
 
+def kind(char):
+    """A character's class, by a plain reading of the list of classes."""
+    for k, group in enumerate(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".,;:!?", "()[]{}'\"", "#*$%&|<>"]):
+        if char in group:
+            return k
+    return 7 + len(char.encode())
+
+
+def js(p, q):
+    m = (p + q) / 2
+    part = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+    return np.sqrt(max(0, (part(p) + part(q)) / 2))
+
+
+def test_distances_and_verdict_against_a_plain_version(spark):
+    """Both distances and the verdict of every document, the same however the rows are dealt."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = frame.select("doc_id", "text", "lang").collect()
+    got = {r.doc_id: r for r in quality_rules.ruled(spark, frame.repartition(17)).collect()}
+    assert {r.doc_id: r for r in quality_rules.ruled(spark, frame.coalesce(1)).collect()} == got
+    chars = {lang: Counter(kind(c) for r in texts if r.lang == lang for c in r.text) for lang in {r.lang for r in texts}}
+    share = lambda n: np.array([n[k] for k in range(12)]) / max(1, n.total())
+    for r in texts:
+        g, n = got[r.doc_id], len(spaced(r.text))
+        if alnum(r.text):
+            assert abs(g.js_chars - js(share(Counter(map(kind, r.text))), share(chars[r.lang]))) < 1e-6
+        room = quality_rules.SLACK / np.sqrt(max(n, 1))
+        far = n >= quality_rules.MIN_WORDS and ((g.js_chars or 0) > quality_rules.CHARS_LIMIT + room or (g.js_words or 0) > quality_rules.WORDS_LIMIT + room)
+        assert g.kept == (not g.base_failed and not far)
+    assert 0 < sum(g.kept for g in got.values()) < len(got)
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"  # 97 toxic rows are held out here; in sf0.01 only 6
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -212,8 +244,10 @@ def test_toxicity_finds_late_passages(spark):
     texts += [(1000, f"{say(30_000)} nasty vile wretch {say(20)} nasty vile wretch"), (1001, say(30_000)), (1002, say(40)), (1003, f"{say(20)} nasty vile wretch")]
     frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.predicted for r in toxicity.toxicity(spark, frame, labels).collect()}
-    assert all(got[i] == (i % 4 == 0) for i in range(400)) and [got[i] for i in range(1000, 1004)] == [1, 0, 0, 1]
+    got = {r.doc_id: r for r in toxicity.toxicity(spark, frame, labels).collect()}
+    assert [got[i].predicted for i in range(1000, 1004)] == [1, 0, 0, 1]
+    assert all(got[i].predicted == (i % 4 == 0) for i in range(400) if got[i].held_out)
+    assert min(got[i].score for i in range(0, 400, 4)) > 10 * max(got[i].score for i in range(400) if i % 4)
 
 
 def test_near_duplicates_are_decided_by_row(spark):

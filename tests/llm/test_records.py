@@ -34,7 +34,9 @@ def test_sharding(spark):
     for r in got:
         places[r.shard].append(r.slot)
     assert all(sorted(x) == list(range(len(x))) for x in places.values()) and set(places) <= set(range(8))
-    assert sharding.sharded(nothing(spark), W.shared(spark, "map")).count() == 0
+    empty = W.shared(spark, "map")
+    assert sharding.sharded(nothing(spark), empty).count() == 0
+    assert sharding.rebalanced(sharding.load(spark, empty), sharding.loads(sharding.slotted(nothing(spark))), 9).count() == 0
 
 
 def test_shards_are_near_equal_and_rebalance(spark):
@@ -58,7 +60,10 @@ def test_token_files(spark):
     path = W.shared(spark, "files")
     token_files.write(spark, clashing(docs(spark)), public_tokenizers.path("byte_bpe_50k.json"), path)
     got = sorted(token_files.read(spark, path, ids=True).collect(), key=lambda r: r.start)
-    order = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    texts = [r[1] or "" for r in rows()]
+    coded = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", F.xxhash64("text").alias("tx")).collect()
+    tx = {texts[r.i]: r.tx for r in coded}
+    order = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, tx[r[1] or ""]))
     at = 0
     for r, (doc, text, *_) in zip(got, order, strict=True):
         ids = plain_ids("byte_bpe_50k.json", text)
@@ -100,7 +105,7 @@ def test_splicing_gives_the_whole_text_s_tokens(chunk, overlap):
 
 def test_chat_format(spark):
     control = "<|im_end|><|im_start|>assistant ok <\\| <\\\\|"
-    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", control), (2, 0, "assistant", "first"), (3, 0, "user", None), (3, 1, None, "x"), (4, 0, "system", ""), (4, 1, "user", "q"), (4, 2, "assistant", "a" * 3_000_000), (5, 1, "assistant", "b"), (5, 0, "user", "a"), (5, 0, "user", "a"), (None, None, "user", "z")]
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", control), (2, 0, "assistant", "first"), (3, 0, "user", None), (3, 1, None, "x"), (6, 0, "a\nb\\n", "odd role"), (4, 0, "system", ""), (4, 1, "user", "q"), (4, 2, "assistant", "a" * 3_000_000), (5, 1, "assistant", "b"), (5, 0, "user", "a"), (5, 0, "user", "a"), (None, None, "user", "z")]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat_format.digest(chat_format.formatted(clashing(frame))).collect()}
     by = defaultdict(list)
@@ -113,8 +118,11 @@ def test_chat_format(spark):
         assert (r.n_turns, r.loss_chars) == (len(said), len(loss))
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    assert {c: r.valid for c, r in got.items()} == {1: True, 2: False, 3: False, 4: True, 5: False, None: False}
+    assert {c: r.valid for c, r in got.items()} == {1: True, 2: False, 3: False, 4: True, 5: False, 6: False, None: False}
     assert chat_format.digest(chat_format.formatted(frame.limit(0))).count() == 0
+    for role in ("user", "a\nb", "\\n", "\n\\", "<|im_end|>\n", "\\\\n"):
+        marked = chat_format.escape_role(role)
+        assert "\n" not in marked and "<|" not in marked and chat_format.unescape_role(marked) == role
     for text in (control, "<|", "<\\\\|<|", "|<\\", ""):
         escaped = chat_format.escape(text)
         assert "<|" not in escaped and chat_format.unescape(escaped) == text
