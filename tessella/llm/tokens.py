@@ -21,7 +21,7 @@ _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 #: Signs that end a run of letters and belong to no contraction or special token.
 _SIGN = np.zeros(256, bool)
 _SIGN[list(b'!"#$%&()*+,-./:;=?@[]^_`{}~')] = True
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, spaced: bool) -> W.Words:
@@ -67,7 +67,7 @@ def encoder(path: str, spaced: bool = False) -> "Encoder":
 class Encoder:
     """Ids of many texts at a time. spaced: the tokenizer drops white space and lower-cases ASCII."""
 
-    def __init__(self, path: str, spaced: bool = False, keep: int = 2_500_000):
+    def __init__(self, path: str, spaced: bool = False, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

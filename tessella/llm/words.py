@@ -217,12 +217,19 @@ def shared(spark, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: For Python workers: large arrays go back to the system when they are freed, not when the worker ends.
+LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
+
+
 def small_batches(spark, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows and 8 MB: by default they hold ten thousand, and texts may be long."""
+    """Arrow batches of at most so many rows and 8 MB: by default they hold ten thousand, and texts may be long.
+    Python workers that start from now on are LEAN."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    for name, value in LEAN.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def free(columns: list[str], name: str) -> str:

@@ -239,7 +239,7 @@ def test_every_language_has_a_reference(spark, monkeypatch):
 def test_toxicity_finds_late_passages(spark):
     """Expressions of one class count wherever they stand, in short and in very long texts."""
     rng = np.random.default_rng(4)
-    say = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 400, n))
+    say = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 20_000, n))
     texts = [(i, f"{say(60)} {'nasty vile wretch' if i % 4 == 0 else 'kind calm friend'} {say(60)}") for i in range(400)]
     texts += [(1000, f"{say(30_000)} nasty vile wretch {say(20)} nasty vile wretch"), (1001, say(30_000)), (1002, say(40)), (1003, f"{say(20)} nasty vile wretch")]
     frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
