@@ -21,7 +21,9 @@ HALO = 256  # frames of a block whose neighbours are looked up together
 
 
 class Clip:
-    """A video sequence."""
+    """A video sequence. looped: the clip that this one only repeats; a range of it is taken without the rest."""
+
+    looped: Clip | None = None
 
     def __init__(self, info: VideoInfo, frames: DataFrame, props: DataFrame | None = None):
         self.info, self.frames = info, frames
@@ -85,7 +87,9 @@ class Clip:
 
 
 class Audio:
-    """An audio sequence."""
+    """An audio sequence. looped: as a Clip's."""
+
+    looped: Audio | None = None
 
     def __init__(self, info: AudioInfo, rows: DataFrame):
         self.info, self.rows = info, rows
@@ -143,6 +147,21 @@ def moved(clip: Clip, info: VideoInfo, to: Column, props: Callable[[DataFrame],
     return Clip(info, send(clip.frames), props(kept) if props else kept)
 
 
+def repeated(rows: DataFrame, index: str, length: int, first: int, last: int) -> DataFrame:
+    """Rows 0 to length - 1 over and over, of which those from first to last are taken and counted from 0. Each row's
+    places come in blocks, so that none holds a long array, however often it's repeated."""
+    at = F.col(index)
+    turn = lambda x, up: F.floor((F.lit(x).cast("long") - at + (length - 1 if up else 0)) / F.lit(length).cast("long"))
+    low, high = turn(first, True), turn(last, False)
+    block = 1 << 12
+    blocks = F.when(low <= high, F.sequence(F.lit(0).cast("long"), F.floor((high - low) / block))).otherwise(F.array().cast("array<bigint>"))
+    rest = [c for c in rows.columns if c != index]
+    dealt = rows.select(at, *rest, low.alias("_low"), high.alias("_high"), F.explode(blocks).alias("_block"))
+    start = F.col("_low") + F.col("_block") * block
+    dealt = dealt.select(at, *rest, F.explode(F.sequence(start, F.least(F.col("_high"), start + block - 1))).alias("_turn"))
+    return dealt.select((at + F.col("_turn") * length - first).alias(index), *rest)
+
+
 def clamped(clip: Clip, length: int) -> Clip:
     """The clip cut or, with its last frame repeated, prolonged to a length."""
     if length == len(clip):

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.clip import Audio
+from tessella.clip import Audio, repeated
 from tessella.info import FLOAT, INTEGER, AudioInfo, need
 from tessella.operators.temporal import MANY, ranged
 from tessella.registry import operator
@@ -42,7 +42,10 @@ def stored(x: Column, info: AudioInfo, strict: bool) -> Column:
 @operator("std", "AudioTrim", "clip:audio first:int? last:int? length:int?")
 def audio_trim(clip: Audio, first=None, last=None, length=None) -> Audio:
     a, b = ranged(first, last, length, len(clip), "AudioTrim")
-    return clip if (a, b) == (0, len(clip) - 1) else clip.but(clip.info.but(length=b - a + 1), clip.rows.where(F.col("s").between(a, b)).withColumn("s", F.col("s") - a))
+    if (a, b) == (0, len(clip) - 1):
+        return clip
+    rows = clip.rows.where(F.col("s").between(a, b)).withColumn("s", F.col("s") - a) if clip.looped is None else repeated(clip.looped.rows, "s", len(clip.looped), a, b)
+    return clip.but(clip.info.but(length=b - a + 1), rows)
 
 
 @operator("std", "AudioReverse", "clip:audio")
@@ -56,8 +59,9 @@ def audio_loop(clip: Audio, times=0) -> Audio:
     if times == 1:
         return clip
     total = len(clip) * times if times else MANY * 3072
-    to = F.sequence(F.col("s"), F.lit(total - 1).cast("long"), F.lit(len(clip)).cast("long"))
-    return clip.but(clip.info.but(length=total), clip.rows.select(F.explode(to).alias("s"), "v"))
+    out = clip.but(clip.info.but(length=total), repeated(clip.rows, "s", len(clip), 0, total - 1))
+    out.looped = clip
+    return out
 
 
 @operator("std", "AudioSplice", "clips:audio[]")
@@ -229,20 +233,22 @@ def _resampled(rows, n_in: int, n_out: int, p: int, q: int, channels: int):
     block = max(1, 4096 * q // p)  # input samples
     low = F.greatest(F.floor((F.col("s") - reach) / block), F.lit(0).cast("long"))
     high = F.least(F.floor((F.col("s") + reach) / block), F.lit((n_in - 1) // block).cast("long"))
-    dealt = rows.withColumn("block", F.explode(F.sequence(low, high)))
+    names = [f"c{k}" for k in range(channels)]
+    dealt = rows.select("s", *(F.get("v", k).alias(c) for k, c in enumerate(names)), F.explode(F.sequence(low, high)).alias("block"))
 
-    def run(key, df: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         b = int(key[0])
         base = b * block - reach
         x = np.zeros((block + 2 * reach + 1, channels))
         df = df[(df.s >= base) & (df.s < base + len(x))]
-        x[df.s.to_numpy() - base] = np.stack(df.v.to_numpy()) if len(df) else 0
+        x[df.s.to_numpy() - base] = df[names].to_numpy()
         first = -(-b * block * p // q)
         m = np.arange(first, min(n_out, -(-(b + 1) * block * p // q)), dtype=np.int64)
         at, phase = m * q // p, m * q % p
         v = np.zeros((len(m), channels))
         for j in range(taps.shape[1]):
             v += taps[phase, j][:, None] * x[at + j - reach + 1 - base]
-        return pd.DataFrame({"s": m, "v": list(v)})
+        return pd.DataFrame({"s": m} | {c: v[:, k] for k, c in enumerate(names)})
 
-    return dealt.groupBy("block").applyInPandas(run, "s long, v array<double>")
+    made = dealt.groupBy("block").applyInPandas(run, ", ".join(["s long", *(f"{c} double" for c in names)]))
+    return made.select("s", F.array(*names).alias("v"))

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.clip import Clip, by_plane, chosen, clamped, joined, same_format
+from tessella.clip import Clip, bound_to, by_plane, chosen, clamped, joined, same_format
 from tessella.info import GRAY, RGB, VideoFormat, need
+from tessella.operators.resize import LOCATIONS, scaled, taps
 from tessella.registry import operator
 
 
@@ -77,29 +78,41 @@ def merge_full_diff(clipa: Clip, clipb: Clip) -> Clip:
     return _zipped(clipa, clipb, lambda p: lambda a, b: _clamp(a + b - (1 << fmt.bits), int(fmt.top)))
 
 
+#: By _ChromaLocation: left, centre, top left, top, bottom left, bottom.
+SITES = list(LOCATIONS.values())
+
+
+def site(props: str = "props") -> Column:
+    """A frame's place in SITES; left where it's unknown."""
+    return F.coalesce(F.get(F.col(props).getItem("_ChromaLocation")["i"], 0), F.lit(0).cast("long"))
+
+
 def mask_for(clip: Clip, mask: Clip, name: str, first_plane: bool = True) -> Clip:
-    """The mask as a clip with the planes and sizes of `clip`: a single plane serves all, halved by means where subsampled."""
+    """The mask as a clip with the planes and sizes of `clip`. A single plane serves all; where chroma is subsampled
+    it's scaled bilinearly to where each of the clip's frames has its chroma samples."""
     need((mask.info.width, mask.info.height) == (clip.info.width, clip.info.height), f"{name}: the mask's size differs")
     need(mask.info.format.bits == clip.info.format.bits and mask.info.format.sample == clip.info.format.sample, f"{name}: the mask's depth differs")
     fmt = clip.info.format
     if not first_plane:
         return mask
-    rows = mask.frames.where("plane = 0")
-    out = rows
-    for p in range(1, fmt.planes):
-        w, h = clip.info.size(p)
-        cols, lines = 1 << fmt.ss_w if fmt.chroma(p) else 1, 1 << fmt.ss_h if fmt.chroma(p) else 1
-        full = clip.info.width
-
-        def mean(i: Column, w=w, cols=cols, lines=lines) -> Column:
-            base = F.expr("0") + (i / w).cast("int") * lines * full + (i % w) * cols
-            total = sum((F.get("data", base + y * full + x) for y in range(lines) for x in range(cols)), F.lit(0))
-            n = cols * lines
-            return (total / n).cast("float") if fmt.is_float else F.floor((total + n // 2) / n).cast("int")
-
-        small = F.col("data") if cols * lines == 1 else F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), mean)
-        out = out.unionByName(rows.select("n", F.lit(p).alias("plane"), small.alias("data")))
-    return Clip(clip.info.but(length=len(mask)), out, mask.props)
+    rows = clamped(mask, len(clip)).frames.where("plane = 0")
+    planes = F.explode(F.array(*[F.lit(p) for p in range(fmt.planes)])).alias("plane")
+    info = clip.info
+    if not (fmt.ss_w or fmt.ss_h):
+        return Clip(info, rows.select("n", planes, "data"), clip.props)
+    (w, h), (cw, ch) = (info.width, info.height), info.size(1)
+    store = (lambda v: v.cast("float")) if fmt.is_float else (lambda v: F.least(F.greatest(F.rint(F.round(v, 6)), F.lit(0.0)), F.lit(float(fmt.top))).cast("int"))
+
+    def small(dx: float, dy: float) -> Column:
+        across, down = taps("Bilinear", w, cw, dx if fmt.ss_w else 0.0), taps("Bilinear", h, ch, dy if fmt.ss_h else 0.0)
+        return F.transform(bound_to(F.transform("data", lambda v: v.cast("double")), lambda d: scaled(d, w, h, across, down)), store)
+
+    sited = rows.join(clip.props.select("n", site().alias("site")), "n")
+    chroma = F.raise_error(F.lit(f"{name}: no such chroma location")).cast(f"array<{'float' if fmt.is_float else 'int'}>")
+    for k, place in reversed(list(enumerate(SITES))):
+        chroma = F.when(F.col("site") == k, small(*place)).otherwise(chroma)
+    whole = sited.select("n", F.array("data", chroma).alias("sizes"))
+    return Clip(info, whole.select("n", "sizes", planes).select("n", "plane", F.get("sizes", F.when(F.col("plane") == 0, 0).otherwise(1)).alias("data")), clip.props)
 
 
 def _black_level(fmt: VideoFormat, plane: int, limited: bool) -> int:
@@ -151,4 +164,7 @@ def masked_merge(clipa: Clip, clipb: Clip, mask: Clip, planes=None, first_plane=
         return F.transform("a0", one)
 
     both = joined([clipa, clipb, mask_for(clipa, mask, "MaskedMerge", single)])
+    if (fmt.ss_w or fmt.ss_h) and use - {0}:  # chroma of both has to lie at the same places
+        apart = clipa.props.select("n", site().alias("sa")).join(clamped(clipb, len(clipa)).props.select("n", site().alias("sb")), "n")
+        both = both.join(apart.select("n", F.when(F.col("sa") != F.col("sb"), F.raise_error(F.lit("MaskedMerge: chroma locations differ")).cast("boolean")).otherwise(True).alias("same")), "n").where("same")
     return clipa.but(frames=both.select("n", "plane", by_plane(clipa.info, make).alias("data")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +35,6 @@ def _lanczos(taps: int) -> Callable[[float], float]:
 
 def _spline(reach: int) -> Callable[[float], float]:
     """The cardinal natural cubic spline through 2 * reach points, a unit at 0: solved, not tabulated."""
-    import numpy as np
-
     n = 2 * reach
     knots = np.arange(n) - reach + 1
 
@@ -133,7 +132,73 @@ def _range(fmt: VideoFormat, plane: int, full: bool) -> tuple[float, float]:
 MATRICES = {"709": (0.2126, 0.0722), "470bg": (0.299, 0.114), "170m": (0.299, 0.114), "2020ncl": (0.2627, 0.0593), "240m": (0.212, 0.087), "fcc": (0.30, 0.11)}
 
 
-def _resize(kind: str, clip: Clip, width=None, height=None, format=None, matrix_s=None, matrix_in_s=None, range_s=None, range_in_s=None, filter_param_a=None, filter_param_b=None, src_left=0.0, src_top=0.0, src_width=None, src_height=None, fields: bool = False) -> Clip:
+#: Chromaticities of red, green, blue and white by name. Fixed values.
+_D65, _C, _DCI, _E = (0.3127, 0.3290), (0.310, 0.316), (0.314, 0.351), (1 / 3, 1 / 3)
+PRIMARIES = {
+    "709": ((0.640, 0.330), (0.300, 0.600), (0.150, 0.060), _D65),
+    "470m": ((0.670, 0.330), (0.210, 0.710), (0.140, 0.080), _C),
+    "470bg": ((0.640, 0.330), (0.290, 0.600), (0.150, 0.060), _D65),
+    "170m": ((0.630, 0.340), (0.310, 0.595), (0.155, 0.070), _D65),
+    "240m": ((0.630, 0.340), (0.310, 0.595), (0.155, 0.070), _D65),
+    "film": ((0.681, 0.319), (0.243, 0.692), (0.145, 0.049), _C),
+    "2020": ((0.708, 0.292), (0.170, 0.797), (0.131, 0.046), _D65),
+    "st431-2": ((0.680, 0.320), (0.265, 0.690), (0.150, 0.060), _DCI),
+    "st432-1": ((0.680, 0.320), (0.265, 0.690), (0.150, 0.060), _D65),
+    "xyz": ((1.0, 0.0), (0.0, 1.0), (0.0, 0.0), _E),
+}
+#: Exponents from code values to light on a display, by transfer name; the Bradford cone responses; the constants of
+#: the st2084 curve, whose 1.0 is a hundredth of its range. Fixed values.
+POWERS = {"linear": 1.0, "709": 2.4, "601": 2.4, "240m": 2.4, "2020_10": 2.4, "2020_12": 2.4, "470m": 2.2, "470bg": 2.8}
+CONES = np.array([[0.8951, 0.2664, -0.1614], [-0.7502, 1.7135, 0.0367], [0.0389, -0.0685, 1.0296]])
+PQ = (0.1593017578125, 78.84375, 0.8359375, 18.8515625, 18.6875)
+#: Where chroma samples lie from the middle of their luma samples, in luma samples. Fixed values.
+LOCATIONS = {"left": (-0.5, 0.0), "center": (0.0, 0.0), "top_left": (-0.5, -0.5), "top": (0.0, -0.5), "bottom_left": (-0.5, 0.5), "bottom": (0.0, 0.5)}
+
+
+def light(name: str, v: Column) -> Column:
+    """Code value 0..1 to linear light."""
+    v = F.greatest(v, F.lit(0.0))
+    if name == "srgb":
+        return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
+    if name == "st2084":
+        m1, m2, c1, c2, c3 = PQ
+        return bound_to(F.pow(v, F.lit(1 / m2)), lambda x: 100 * F.pow(F.greatest(x - c1, F.lit(0.0)) / (c2 - c3 * x), F.lit(1 / m1)))
+    return v if POWERS[name] == 1 else F.pow(v, F.lit(POWERS[name]))
+
+
+def coded(name: str, v: Column) -> Column:
+    """Linear light to code value."""
+    v = F.greatest(v, F.lit(0.0))
+    if name == "srgb":
+        return F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055)
+    if name == "st2084":
+        m1, m2, c1, c2, c3 = PQ
+        return bound_to(F.pow(v / 100, F.lit(m1)), lambda x: F.pow((c1 + c2 * x) / (1 + c3 * x), F.lit(m2)))
+    return v if POWERS[name] == 1 else F.pow(v, F.lit(1 / POWERS[name]))
+
+
+def gamut(have: str, want: str) -> np.ndarray:
+    """Linear RGB of one set of primaries to another, white adapted by cone responses."""
+    full = lambda c: np.array([c[0] / c[1], 1.0, (1 - c[0] - c[1]) / c[1]])
+    xyz = lambda c: np.array([c[0], c[1], 1 - c[0] - c[1]])
+
+    def to_xyz(name: str) -> np.ndarray:
+        *rgb, white = PRIMARIES[name]
+        m = np.stack([xyz(c) for c in rgb], 1)
+        return m * np.linalg.solve(m, full(white))
+
+    a, b = CONES @ full(PRIMARIES[have][3]), CONES @ full(PRIMARIES[want][3])
+    adapted = np.linalg.inv(CONES) @ np.diag(b / a) @ CONES
+    return np.linalg.inv(to_xyz(want)) @ adapted @ to_xyz(have)
+
+
+def luma_matrix(kr: float, kb: float) -> np.ndarray:
+    """RGB to Y, U, V, of which the last two run from -0.5 to 0.5."""
+    y = np.array([kr, 1 - kr - kb, kb])
+    return np.stack([y, (np.array([0, 0, 1]) - y) / (2 * (1 - kb)), (np.array([1, 0, 0]) - y) / (2 * (1 - kr))])
+
+
+def _resize(kind: str, clip: Clip, width=None, height=None, format=None, matrix_s=None, matrix_in_s=None, range_s=None, range_in_s=None, filter_param_a=None, filter_param_b=None, src_left=0.0, src_top=0.0, src_width=None, src_height=None, transfer_s=None, transfer_in_s=None, primaries_s=None, primaries_in_s=None, chromaloc_s=None, chromaloc_in_s=None, fields: bool = False) -> Clip:
     """fields: top fields (_Field 1) are taken to lie a quarter of their lines higher than the frame, bottom ones lower."""
     old = clip.info
     fmt = VideoFormat.of_id(format) if format is not None else old.format
@@ -143,22 +208,40 @@ def _resize(kind: str, clip: Clip, width=None, height=None, format=None, matrix_
     crosses = (old.format.family == YUV) != (fmt.family == YUV)
     need(not crosses or bool(matrix_in_s if old.format.family == YUV else matrix_s), "Resize: a matrix must be given between YUV and RGB")
     need(old.format.planes == fmt.planes or crosses is False and fmt.planes == 1, "Resize: planes can only be kept or dropped")
+    recoded = bool(transfer_s) and transfer_s != transfer_in_s or bool(primaries_s) and primaries_s != primaries_in_s
+    if recoded:
+        need(fmt.planes == 3, "Resize: transfer and primaries are of three planes")
+        need(not transfer_s or bool(transfer_in_s), "Resize: transfer_in_s is needed")
+        need(not primaries_s or bool(primaries_in_s and transfer_in_s), "Resize: primaries_in_s and transfer_in_s are needed")
+        need(all(x in (None, "srgb", "st2084", *POWERS) for x in (transfer_s, transfer_in_s)) and all(x in (None, *PRIMARIES) for x in (primaries_s, primaries_in_s)), "Resize: no such transfer or primaries")
+        need(old.format.family == RGB or bool(matrix_in_s), "Resize: matrix_in_s is needed")
+    need(all(x in (None, *LOCATIONS) for x in (chromaloc_s, chromaloc_in_s)), "Resize: no such chroma location")
+    site_in, site_out = (LOCATIONS[x or "left"] for x in (chromaloc_in_s, chromaloc_s or chromaloc_in_s))
     whole = (width or old.width, height or old.height) == (old.width, old.height) and (src_left, src_top, src_width, src_height) == (0.0, 0.0, None, None)
-    if whole and fmt == old.format and full_in == full_out:
+    if whole and fmt == old.format and full_in == full_out and not recoded and site_in == site_out:
         return clip
+    joins = crosses or recoded
+    need(not joins or fmt.family != YUV or not (fmt.ss_w or fmt.ss_h), "Resize: colour is converted to planes of one size")
     frames = clip.frames.where(F.col("plane") < fmt.planes)
     unit = lambda p: _range(old.format, p, full_in)
     level = lambda p: F.transform("data", lambda v: (v.cast("double") - unit(p)[0]) / unit(p)[1])
-    sizes = {p: info.size(p) if not crosses else (info.width, info.height) for p in range(fmt.planes)}
+    sizes = {p: info.size(p) if not joins else (info.width, info.height) for p in range(fmt.planes)}
+
+    def shift(p: int, axis: int, scale: float) -> float:
+        """How far chroma's place among luma moves a plane's samples, in its own samples."""
+        before, after = (1 << (f.ss_h if axis else f.ss_w) if f.chroma(p) else 1 for f in (old.format, fmt if not joins else VideoFormat(RGB)))
+        return (site_out[axis] * scale * (after > 1) - site_in[axis] * (before > 1)) / before
+
     picture = {}
     for p in range(fmt.planes):
         w, h = old.size(p)
         nw, nh = sizes[p]
         rx, ry = w / old.width, h / old.height
         sw, sh = (src_width or old.width) * rx, (src_height or old.height) * ry
-        across = taps(kind, w, nw, src_left * rx, sw, filter_param_a, filter_param_b)
-        down = taps(kind, h, nh, src_top * ry + FIELD * fields, sh, filter_param_a, filter_param_b)
-        below = taps(kind, h, nh, src_top * ry - FIELD, sh, filter_param_a, filter_param_b) if fields else down
+        left, top = src_left * rx + shift(p, 0, (src_width or old.width) / info.width), src_top * ry + shift(p, 1, (src_height or old.height) / info.height)
+        across = taps(kind, w, nw, left, sw, filter_param_a, filter_param_b)
+        down = taps(kind, h, nh, top + FIELD * fields, sh, filter_param_a, filter_param_b)
+        below = taps(kind, h, nh, top - FIELD, sh, filter_param_a, filter_param_b) if fields else down
         same = not fields and all(len(t) == 1 and t[0] == (i, 1.0) for side in (across, down) for i, t in enumerate(side)) and (nw, nh) == (w, h)
         if same:
             picture[p] = level(p)
@@ -168,31 +251,48 @@ def _resize(kind: str, clip: Clip, width=None, height=None, format=None, matrix_
     if fields:
         frames = frames.join(clip.props.select("n", (F.get(F.col("props").getItem("_Field")["i"], 0) == 1).alias("top")), "n")
     rows = frames.select("n", "plane", by_plane(info, picture.get).alias("data"))
-    if crosses:
-        rows = _converted(rows, old.format.family == YUV, *MATRICES[matrix_in_s if old.format.family == YUV else matrix_s])
+    if joins:
+        steps: list[Callable[[Column], Column]] = []
+        if old.format.family == YUV:
+            steps.append(_times(np.linalg.inv(luma_matrix(*MATRICES[matrix_in_s]))))
+        if recoded:
+            steps.append(lambda c: F.transform(c, lambda v: light(transfer_in_s, v)))
+            if primaries_s and primaries_s != primaries_in_s:
+                steps.append(_times(gamut(primaries_in_s, primaries_s)))
+            steps.append(lambda c: F.transform(c, lambda v: coded(transfer_s or transfer_in_s, v)))
+        if fmt.family == YUV:
+            steps.append(_times(luma_matrix(*MATRICES[matrix_s or matrix_in_s])))
+        rows = _converted(rows, steps)
     end = lambda p: _range(fmt, p, full_out)
     code = lambda v, p: v * end(p)[1] + end(p)[0]
     store = lambda p: F.transform("data", lambda v: code(v, p).cast("float") if fmt.is_float else F.least(F.greatest(F.rint(F.round(code(v, p), 6)), F.lit(0.0)), F.lit(float(fmt.top))).cast("int"))
     return Clip(info, rows.select("n", "plane", by_plane(info, store).alias("data")), clip.props)
 
 
-def _converted(rows, to_rgb: bool, kr: float, kb: float):
-    """Planes of equal size through a colour matrix; one row per frame on the way."""
-    kg = 1 - kr - kb
+def _times(m: np.ndarray) -> Callable[[Column], Column]:
+    """A pixel's three values times a matrix."""
+    return lambda c: bound_to(c, lambda x: F.array(*(sum(float(w) * F.get(x, k) for k, w in enumerate(row)) for row in m)))
+
+
+def _nth(k: int) -> Callable[[Column], Column]:
+    return lambda c: F.get(c, k)
+
+
+def _converted(rows, steps: list[Callable[[Column], Column]]):
+    """Planes of equal size, pixel by pixel (arrays of three values) through some steps; one row per frame on the way."""
     wide = rows.groupBy("n").agg(*[F.max(F.when(F.col("plane") == p, F.col("data"))).alias(f"p{p}") for p in range(3)])
-    each = lambda make: F.transform("p0", lambda a, i: make(a, F.get("p1", i), F.get("p2", i)))
-    if to_rgb:
-        red = each(lambda y, u, v: y + 2 * (1 - kr) * v)
-        blue = each(lambda y, u, v: y + 2 * (1 - kb) * u)
-        green = each(lambda y, u, v: y - (2 * (1 - kr) * kr * v + 2 * (1 - kb) * kb * u) / kg)
-        parts = [red, green, blue]
-    else:
-        luma = lambda r, g, b: kr * r + kg * g + kb * b
-        parts = [each(luma), each(lambda r, g, b: (b - luma(r, g, b)) / (2 * (1 - kb))), each(lambda r, g, b: (r - luma(r, g, b)) / (2 * (1 - kr)))]
-    return wide.select("n", F.posexplode(F.array(*parts)).alias("plane", "data"))
-
-
-_SIGNATURE = "clip:clip width:int? height:int? format:int? matrix_s:data? matrix_in_s:data? range_s:data? range_in_s:data? filter_param_a:float? filter_param_b:float? src_left:float? src_top:float? src_width:float? src_height:float?"
+
+    def pixel(a: Column, i: Column) -> Column:
+        out = F.array(a, F.get("p1", i), F.get("p2", i))
+        for step in steps:
+            out = step(out)
+        return out
+
+    made = wide.select("n", F.transform("p0", pixel).alias("pixels"))
+    return made.select("n", F.posexplode(F.array(*(F.transform("pixels", _nth(k)) for k in range(3)))).alias("plane", "data"))
+
+
+_SIGNATURE = "clip:clip width:int? height:int? format:int? matrix_s:data? matrix_in_s:data? range_s:data? range_in_s:data? filter_param_a:float? filter_param_b:float? src_left:float? src_top:float? src_width:float? src_height:float? transfer_s:data? transfer_in_s:data? primaries_s:data? primaries_in_s:data? chromaloc_s:data? chromaloc_in_s:data?"
 for _kind in ("Point", *KERNELS):
     operator("resize", _kind, _SIGNATURE)(lambda _kind=_kind, **args: _resize(_kind, **args))
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.clip import Clip, by_plane, chosen, clamped, joined, mapped, moved, neighbours, same_format
+from tessella.clip import Clip, by_plane, chosen, clamped, joined, mapped, moved, neighbours, repeated, same_format
 from tessella.info import need, reduced
 from tessella.operators.props import rescaled_durations, with_ints
 from tessella.registry import operator
@@ -33,6 +33,8 @@ def trim(clip: Clip, first=None, last=None, length=None) -> Clip:
     a, b = ranged(first, last, length, len(clip), "Trim")
     if (a, b) == (0, len(clip) - 1):
         return clip
+    if clip.looped is not None:
+        return _looped(clip.looped, a, b)
     cut = lambda df: df.where(F.col("n").between(a, b)).withColumn("n", F.col("n") - a)
     return Clip(clip.info.but(length=b - a + 1), cut(clip.frames), cut(clip.props))
 
@@ -49,7 +51,15 @@ def loop(clip: Clip, times=0) -> Clip:
     if times == 1:
         return clip
     total = min(len(clip) * times, MANY) if times else MANY
-    return moved(clip, clip.info.but(length=total), F.sequence(F.col("n"), _long(total - 1), _long(len(clip))))
+    out = _looped(clip, 0, total - 1)
+    out.looped = clip
+    return out
+
+
+def _looped(clip: Clip, first: int, last: int) -> Clip:
+    """The frames from first to last of the clip repeated without end."""
+    cut = lambda df: repeated(df, "n", len(clip), first, last)
+    return Clip(clip.info.but(length=last - first + 1), cut(clip.frames), cut(clip.props))
 
 
 @operator("std", "SelectEvery", "clip:clip cycle:int offsets:int[] modify_duration:int?")

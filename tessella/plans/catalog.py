@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.clip import Audio, Clip
 from tessella.info import GRAY, INTEGER, RGB, YUV, AudioInfo, VideoFormat, VideoInfo  # noqa: F401
-from tessella.operators import resize, stats
+from tessella.operators import audio, resize, stats
 from tessella.plans import sql
 from tessella.plans.sql import A16, COUNT, E8, EF, EVENTS, P8, R8, Y8
 from tessella.registry import bound
@@ -80,17 +80,27 @@ gray("std_merge_full_diff", lambda c: c.std.Reverse().std.MergeFullDiff(c.std.Ma
 gray("std_masked_merge", lambda c: c.std.MaskedMerge(c.std.Reverse(), c.std.Trim(last=99)), sql.video(E8 + f", b AS ({sql.BACK}), m AS ({sql.HELD})", "e8.n, e8.plane, e8.y, e8.x, ((255 - m.v) * e8.v + m.v * b.v + 127) // 255 AS v", "e8 JOIN b USING (n, plane, y, x) JOIN m USING (n, plane, y, x)"))
 gray("std_premultiply", lambda c: c.std.PreMultiply(c.std.Reverse()), sql.pair("sign(a.v - 16) * floor((abs(a.v - 16) * b.v + 127) / 255) + 16", sql.BACK))
 
+_first = lambda c: bound("std").ShufflePlanes([c], [0], GRAY)
+_sited = lambda dx, dy: sql.sited(resize.taps("Bilinear", 8, 4, dx), resize.taps("Bilinear", 8, 4, dy))
+_reversed = "b AS (SELECT (SELECT max(n) FROM y8) - n AS n, plane, y, x, v FROM y8)"
+_masked = lambda dx, dy: sql.video(f"{Y8}, {_reversed}, {_sited(dx, dy)}", "a.n, a.plane, a.y, a.x, ((255 - m.v) * a.v + m.v * b.v + 127) // 255 AS v", "y8 a JOIN b USING (n, plane, y, x) JOIN m USING (n, plane, y, x)")
+colour("std_masked_merge_chroma", lambda c: c.std.MaskedMerge(c.std.Reverse(), _first(c), first_plane=1), _masked(-0.5, 0.0), True)
+colour("std_masked_merge_chroma_sited", lambda c: (lambda t: t.std.MaskedMerge(t.std.Reverse(), _first(c), first_plane=1))(c.std.SetFrameProp("_ChromaLocation", intval=5)), _masked(0.0, 0.5), True)
+colour("std_premultiply_chroma", lambda c: c.std.PreMultiply(_first(c)), sql.video(f"{Y8}, {_sited(-0.5, 0.0)}, o AS (SELECT y8.n, plane, y, x, y8.v - CASE plane WHEN 0 THEN 16 ELSE 128 END AS d, CASE plane WHEN 0 THEN 16 ELSE 128 END AS base, m.v AS m FROM y8 JOIN m USING (n, plane, y, x))", "n, plane, y, x, sign(d) * floor((abs(d) * m + 127) / 255) + base AS v", "o"), True)
+colour("std_merge_chroma", lambda c: c.std.Merge(c.std.Reverse(), weight=[0.3, 0.5]), sql.video(f"{Y8}, {_reversed}", "a.n, a.plane, a.y, a.x, a.v + CAST(floor(((b.v - a.v) * CASE a.plane WHEN 0 THEN 9830 ELSE 16384 END + 16384) / 32768.0) AS BIGINT) AS v", "y8 a JOIN b USING (n, plane, y, x)"), True)
+colour("std_make_diff_chroma", lambda c: c.std.MakeDiff(c.std.Reverse()), sql.video(f"{Y8}, {_reversed}", "a.n, a.plane, a.y, a.x, least(greatest(a.v - b.v + 128, 0), 255) AS v", "y8 a JOIN b USING (n, plane, y, x)"), True)
+
 # -- the frame index --------------------------------------------------------------------------------
 gray("std_trim", lambda c: c.std.Trim(first=10, length=90), sql.resampled("SELECT range AS n, range + 10 AS src FROM range(90)", "e8"))
 gray("std_reverse", lambda c: c.std.Reverse(), sql.resampled(f"SELECT range AS n, {COUNT} - 1 - range AS src FROM range({COUNT})", "e8"))
-gray("std_loop", lambda c: c.std.Trim(last=19).std.Loop(times=3), sql.resampled("SELECT range AS n, range % 20 AS src FROM range(60)", "e8"))
-gray("std_loop_endless", lambda c: c.std.Trim(last=19).std.Trim(last=9).std.Loop(times=7).std.Trim(first=3, last=41), sql.resampled("SELECT range AS n, (range + 3) % 10 AS src FROM range(39)", "e8"))
-gray("std_select_every", lambda c: c.std.Trim(last=99).std.SelectEvery(cycle=3, offsets=[2, 0]), sql.resampled("SELECT range AS n, CASE WHEN range = 66 THEN 99 ELSE range // 2 * 3 + CASE range % 2 WHEN 0 THEN 2 ELSE 0 END END AS src FROM range(67)", "e8"))
-gray("std_duplicate_frames", lambda c: c.std.Trim(last=9).std.DuplicateFrames([3, 3, 9]), sql.resampled("SELECT unnest(range(13)) AS n, unnest([0, 1, 2, 3, 3, 3, 4, 5, 6, 7, 8, 9, 9]) AS src", "e8"))
-gray("std_delete_frames", lambda c: c.std.Trim(last=9).std.DeleteFrames([0, 5, 6]), sql.resampled("SELECT unnest(range(7)) AS n, unnest([1, 2, 3, 4, 7, 8, 9]) AS src", "e8"))
-gray("std_freeze_frames", lambda c: c.std.Trim(last=9).std.FreezeFrames([2, 7], [4, 8], [9, 3]), sql.resampled("SELECT unnest(range(10)) AS n, unnest([0, 1, 9, 9, 9, 5, 6, 3, 3, 9]) AS src", "e8"))
-gray("std_splice", lambda c: c.std.Trim(last=9) + c.std.Reverse().std.Trim(last=9), sql.resampled(f"SELECT range AS n, CASE WHEN range < 10 THEN range ELSE {COUNT} - 1 - (range - 10) END AS src FROM range(20)", "e8"))
-gray("std_interleave", lambda c: bound("std").Interleave([c.std.Trim(last=9), c.std.Trim(first=20, last=24)], extend=1), sql.resampled("SELECT range AS n, CASE range % 2 WHEN 0 THEN range // 2 ELSE 20 + least(range // 2, 4) END AS src FROM range(20)", "e8"))
+gray("std_loop", lambda c: c.std.Loop(times=3), sql.resampled(f"SELECT range AS n, range % {COUNT} AS src FROM range(3 * {COUNT})", "e8"))
+gray("std_loop_endless", lambda c: c.std.Loop(times=0).std.Trim(first=len(c) - 7, length=2 * len(c) + 20), sql.resampled(f"SELECT range AS n, (range + {COUNT} - 7) % {COUNT} AS src FROM range(2 * {COUNT} + 20)", "e8"))
+gray("std_select_every", lambda c: c.std.SelectEvery(cycle=3, offsets=[2, 0]), sql.video(E8 + f", k AS (SELECT unnest([0, 1]) AS j, unnest([2, 0]) AS o)", "n // 3 * 2 + CASE WHEN n >= " + COUNT + " // 3 * 3 THEN 0 ELSE j END AS n, plane, y, x, v", "e8 JOIN k ON n % 3 = o"))
+gray("std_duplicate_frames", lambda c: c.std.DuplicateFrames([3, 3, 9]), sql.resampled(f"SELECT range AS n, CASE WHEN range <= 3 THEN range WHEN range <= 5 THEN 3 WHEN range <= 11 THEN range - 2 WHEN range = 12 THEN 9 ELSE range - 3 END AS src FROM range({COUNT} + 3)", "e8"))
+gray("std_delete_frames", lambda c: c.std.DeleteFrames([0, 5, 6]), sql.resampled(f"SELECT range AS n, CASE WHEN range < 4 THEN range + 1 ELSE range + 3 END AS src FROM range({COUNT} - 3)", "e8"))
+gray("std_freeze_frames", lambda c: c.std.FreezeFrames([2, 7], [4, 8], [9, 3]), sql.resampled(f"SELECT range AS n, CASE WHEN range BETWEEN 2 AND 4 THEN 9 WHEN range BETWEEN 7 AND 8 THEN 3 ELSE range END AS src FROM range({COUNT})", "e8"))
+gray("std_splice", lambda c: c + c.std.Reverse(), sql.resampled(f"SELECT range AS n, CASE WHEN range < {COUNT} THEN range ELSE 2 * {COUNT} - 1 - range END AS src FROM range(2 * {COUNT})", "e8"))
+gray("std_interleave", lambda c: bound("std").Interleave([c, c.std.Trim(first=20)], extend=1), sql.resampled(f"SELECT range AS n, CASE range % 2 WHEN 0 THEN range // 2 ELSE least(20 + range // 2, {COUNT} - 1) END AS src FROM range(2 * {COUNT})", "e8"))
 gray("clip_slicing", lambda c: c[30:10:-3], sql.resampled("SELECT range AS n, 30 - 3 * range AS src FROM range(7)", "e8"))
 add("std_assume_fps", lambda spark, d: ints(tables.gray(spark, d).std.AssumeFPS(fpsnum=60000, fpsden=2002), "_DurationNum", "_DurationDen"), "SELECT vec_id AS n, 1001::BIGINT AS durationnum, 30000::BIGINT AS durationden FROM embeddings")
 add("std_select_every_durations", lambda spark, d: ints(tables.gray(spark, d).std.SelectEvery(cycle=6, offsets=[1, 4]), "_DurationNum", "_DurationDen"), f"SELECT range AS n, 1::BIGINT AS durationnum, 8::BIGINT AS durationden FROM range({COUNT} // 6 * 2 + CASE WHEN {COUNT} % 6 > 4 THEN 2 WHEN {COUNT} % 6 > 1 THEN 1 ELSE 0 END)")
@@ -99,8 +109,7 @@ gray("std_average_frames", lambda c: c.std.AverageFrames(weights=[1, 2, 1]), sql
 gray("std_average_frames_scenes", lambda c: c.std.AverageFrames(weights=[1, 2, 1], scenechange=1), sql.video(E8 + ", " + P8 + f", m AS (SELECT n, k, CASE k WHEN 0 THEN 2 ELSE 1 END AS w, CASE WHEN k = -1 AND prev = 1 OR k = 1 AND next = 1 THEN n ELSE least(greatest(n + k, 0), {COUNT} - 1) END AS src FROM p, (SELECT unnest([-1, 0, 1]) AS k)), s AS (SELECT m.n, plane, y, x, sum(v * w) AS t FROM m JOIN e8 ON e8.n = src GROUP BY m.n, plane, y, x)", "n, plane, y, x, round_even(CAST(CAST(t AS FLOAT) * CAST(0.25 AS FLOAT) AS DOUBLE), 0) AS v", "s"))
 gray("std_average_frames_clips", lambda c: bound("std").AverageFrames([c, c.std.Reverse()], weights=[3, 1]), sql.pair("round_even(CAST(CAST(3 * a.v + b.v AS FLOAT) * CAST(0.25 AS FLOAT) AS DOUBLE), 0)", sql.BACK))
 gray("std_separate_fields", lambda c: c.std.SeparateFields(tff=1), sql.video(E8, "2 * n + y % 2 AS n, plane, y // 2 AS y, x, v", "e8"))
-gray("std_double_weave", lambda c: c.std.SeparateFields(tff=1).std.DoubleWeave(), sql.video(E8 + ", fl AS (SELECT 2 * n + y % 2 AS n, y // 2 AS y, x, v FROM e8), m AS (SELECT n FROM (SELECT DISTINCT n FROM fl))", f"m.n, 0 AS plane, 2 * fl.y + par AS y, fl.x, fl.v", f"(SELECT n, unnest([0, 1]) AS par FROM m) m JOIN fl ON fl.n = CASE WHEN m.n % 2 = par THEN m.n ELSE m.n + 1 END", where=f"m.n < 2 * {COUNT} - 1").replace("SELECT m.n, 0", "SELECT m.n, 0"))
-QUERIES["std_double_weave"] = lambda spark, d: shown(tables.gray(spark, d).std.SeparateFields(tff=1).std.DoubleWeave().std.Trim(last=2 * len(tables.gray(spark, d)) - 2))
+gray("std_double_weave", lambda c: c.std.SeparateFields(tff=1).std.DoubleWeave(tff=1), sql.video(E8 + f", fl AS (SELECT 2 * n + y % 2 AS n, y // 2 AS y, x, v FROM e8), m AS (SELECT range AS n, unnest([0, 1]) AS par FROM range(2 * {COUNT}))", "m.n, 0 AS plane, 2 * fl.y + par AS y, fl.x, fl.v", f"m JOIN fl ON fl.n = CASE WHEN m.n = 2 * {COUNT} - 1 THEN m.n WHEN m.n % 2 = par THEN m.n ELSE m.n + 1 END"))
 
 # -- neighbourhoods ---------------------------------------------------------------------------------
 gray("std_minimum", lambda c: c.std.Minimum(), sql.near(f"least({sql.taps('v')})"))
@@ -139,6 +148,18 @@ for _name in ("Bilinear", "Bicubic", "Point", "Lanczos", "Spline16", "Spline36",
     gray(f"resize_{_name.lower()}", lambda c, k=_name: getattr(c.resize, k)(width=12, height=5), sql.scaled(resize.taps(_name, 8, 12), resize.taps(_name, 8, 5), 12, 5))
 gray("resize_depth", lambda c: c.resize.Point(format=VideoFormat(GRAY, INTEGER, 10).id, range_s="full", range_in_s="full"), sql.point("round_even(round(v / 255.0 * 1023.0, 6), 0)"))
 colour("resize_matrix", lambda c: c.resize.Point(format=VideoFormat(YUV, INTEGER, 8).id, matrix_s="709", range_s="limited"), sql.video(R8 + ", w AS (SELECT n, y, x, max(CASE plane WHEN 0 THEN v / 255.0 END) AS r, max(CASE plane WHEN 1 THEN v / 255.0 END) AS g, max(CASE plane WHEN 2 THEN v / 255.0 END) AS b FROM r8 GROUP BY n, y, x), l AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS l FROM w)", "n, plane, y, x, round_even(round(CASE plane WHEN 0 THEN l * 219 + 16 WHEN 1 THEN (b - l) / 1.8556 * 224 + 128 ELSE (r - l) / 1.5748 * 224 + 128 END, 6), 0) AS v", "l, (SELECT unnest([0, 1, 2]) AS plane)"))
+_mixed = lambda m, names: [" + ".join(f"{float(w)!r} * {x}" for w, x in zip(row, names, strict=True)) for row in m]
+_lit = [f"CASE WHEN {x} <= 0.04045 THEN {x} / 12.92 ELSE pow(({x} + 0.055) / 1.055, 2.4) END" for x in "rgb"]
+_wide, _luma = _mixed(resize.gamut("709", "2020"), "rgb"), _mixed(resize.luma_matrix(*resize.MATRICES["2020ncl"]), "rgb")
+_triples = f"{R8}, t0 AS (SELECT n, y, x, max(CASE plane WHEN 0 THEN v / 255.0 END)::DOUBLE AS r, max(CASE plane WHEN 1 THEN v / 255.0 END)::DOUBLE AS g, max(CASE plane WHEN 2 THEN v / 255.0 END)::DOUBLE AS b FROM r8 GROUP BY n, y, x)"
+_step = lambda of, to, parts: f", {to} AS (SELECT n, y, x, {', '.join(f'{e} AS {c}' for e, c in zip(parts, 'rgb', strict=True))} FROM {of})"
+_back = [f"pow(greatest({x}, 0), {1 / 2.4!r})" for x in "rgb"]
+_recoded = _triples + _step("t0", "t1", _lit) + _step("t1", "t2", _wide) + _step("t2", "t3", _back)
+colour("resize_primaries", lambda c: c.resize.Point(transfer_in_s="srgb", transfer_s="709", primaries_in_s="709", primaries_s="2020"), sql.video(_recoded, "n, plane, y, x, least(greatest(round_even(round(CASE plane WHEN 0 THEN r WHEN 1 THEN g ELSE b END * 255.0, 6), 0), 0), 255) AS v", "t3, (SELECT unnest([0, 1, 2]) AS plane)"))
+colour("resize_transfer_matrix", lambda c: c.resize.Point(format=VideoFormat(YUV, INTEGER, 10).id, matrix_s="2020ncl", range_s="limited", transfer_in_s="srgb", transfer_s="709", primaries_in_s="709", primaries_s="2020"), sql.video(_recoded + _step("t3", "t4", _luma), "n, plane, y, x, least(greatest(round_even(round(CASE plane WHEN 0 THEN r * 876 + 64 WHEN 1 THEN g * 896 + 512 ELSE b * 896 + 512 END, 6), 0), 0), 1023) AS v", "t4, (SELECT unnest([0, 1, 2]) AS plane)"))
+_placed = lambda dx, dy: ", ".join(f"{t}(o, k, w) AS (VALUES {', '.join(f'({i}, {k}, {w!r}::DOUBLE)' for i, row in enumerate(resize.taps('Bilinear', 4, 8, -d / 2)) for k, w in row)})" for t, d in (("tx", dx), ("ty", dy)))
+for _where in ("left", "top"):
+    colour(f"resize_chroma_{_where}", lambda c, k=_where: c.resize.Bilinear(format=VideoFormat(YUV, INTEGER, 8).id, chromaloc_in_s=k), sql.video(f"{Y8}, {_placed(*resize.LOCATIONS[_where])}, hx AS (SELECT n, plane, y, o AS x, sum((v - 128) / 224.0 * w) AS v FROM y8 JOIN tx ON k = x WHERE plane > 0 GROUP BY n, plane, y, o), hy AS (SELECT n, plane, o AS y, x, sum(v * w) AS v FROM hx JOIN ty ON k = y GROUP BY n, plane, x, o)", "n, plane, y, x, v", "(SELECT n, plane, y, x, v FROM y8 WHERE plane = 0 UNION ALL SELECT n, plane, y, x, least(greatest(round_even(round(v * 224 + 128, 6), 0), 0), 255) FROM hy)"), True)
 _bob = ", ".join(f"({parity}, {i}, {k}, {w!r}::DOUBLE)" for parity in (0, 1) for i, r in enumerate(resize.taps("Bicubic", 4, 8, resize.FIELD * (1 - 2 * parity))) for k, w in r)
 gray("resize_bob", lambda c: c.resize.Bob(tff=1), sql.video(E8 + f", fl AS (SELECT 2 * n + y % 2 AS n, y % 2 AS parity, y // 2 AS y, x, v FROM e8), ty(parity, o, k, w) AS (VALUES {_bob}), s AS (SELECT n, o AS y, x, sum(v / 255.0 * w) AS v FROM fl JOIN ty ON k = y AND ty.parity = fl.parity GROUP BY n, o, x)", "n, 0 AS plane, y, x, least(greatest(round_even(round(v * 255.0, 6), 0), 0), 255) AS v", "s"))
 
@@ -156,7 +177,7 @@ _text = lambda clip, name="text": clip.props.select("n", F.get(F.col("props")["_
 add("text_text", lambda spark, d: _text(tables.gray(spark, d).text.Text("hello")), "SELECT vec_id AS n, 'hello' AS text FROM embeddings")
 add("text_frame_num", lambda spark, d: _text(tables.gray(spark, d).text.FrameNum()), "SELECT vec_id AS n, CAST(vec_id AS VARCHAR) AS text FROM embeddings")
 add("text_clip_info", lambda spark, d: _text(tables.gray(spark, d).text.ClipInfo()), f"SELECT vec_id AS n, 'Gray8 8x8, ' || {COUNT} || ' frames at 24/1' AS text FROM embeddings")
-add("text_core_info", lambda spark, d: _text(tables.gray(spark, d).text.CoreInfo()))
+add("text_core_info", lambda spark, d: _text(tables.gray(spark, d).text.CoreInfo()).withColumn("text", F.regexp_replace("text", "[0-9.]+", "#")), "SELECT vec_id AS n, 'Spark #, # tasks at a time' AS text FROM embeddings")
 add("text_frame_props", lambda spark, d: _text(tables.gray(spark, d).text.FrameProps(props=["Label", "_DurationDen"])), "SELECT vec_id AS n, 'Label: ' || label || chr(10) || '_DurationDen: 24' AS text FROM embeddings")
 add("cli_timecodes", lambda spark, d: sinks.timecodes(tables.gray(spark, d)).select("n", F.round("ms", 6).alias("ms")), "SELECT vec_id AS n, round(vec_id * 1000.0::DOUBLE / 24, 6) AS ms FROM embeddings")
 add("cli_props_json", lambda spark, d: sinks.props_json(tables.gray(spark, d)), f"WITH {P8} SELECT n, '{{\"Label\": ' || label || ', \"_DurationDen\": 24, \"_DurationNum\": 1, \"_SceneChangeNext\": ' || next || ', \"_SceneChangePrev\": ' || prev || '}}' AS json FROM p")
@@ -168,15 +189,16 @@ def _stats(clip: Clip) -> DataFrame:
 
 
 # -- functions of the user --------------------------------------------------------------------------
-gray("std_frame_eval", lambda c: (lambda back: c.std.FrameEval(lambda n: back if n % 3 == 0 else c))(c.std.Reverse()), sql.resampled(f"SELECT range AS n, CASE range % 3 WHEN 0 THEN {COUNT} - 1 - range ELSE range END AS src FROM range({COUNT})", "e8"))
-gray("std_frame_eval_props", lambda c: (lambda inv: c.std.FrameEval(lambda n, p: inv if p["Label"][0] % 2 else c, prop_src=c))(c.std.Invert()), sql.video(E8, "n, plane, y, x, CASE WHEN label % 2 = 1 THEN 255 - v ELSE v END AS v", "e8 JOIN embeddings ON vec_id = n"))
+gray("std_frame_eval", lambda c: c.std.FrameEval(lambda n: int(n % 3 != 0), clip_src=[c.std.Reverse(), c]), sql.resampled(f"SELECT range AS n, CASE range % 3 WHEN 0 THEN {COUNT} - 1 - range ELSE range END AS src FROM range({COUNT})", "e8"))
+gray("std_frame_eval_props", lambda c: c.std.FrameEval(lambda n, p: p["Label"][0] % 2, prop_src=c, clip_src=[c, c.std.Invert()]), sql.video(E8, "n, plane, y, x, CASE WHEN label % 2 = 1 THEN 255 - v ELSE v END AS v", "e8 JOIN embeddings ON vec_id = n"))
 gray("std_modify_frame", lambda c: c.std.ModifyFrame([c, c.std.Reverse()], lambda n, f: [abs(f[0][0] - f[1][0])]), sql.pair("abs(a.v - b.v)", sql.BACK))
 
 # -- audio ------------------------------------------------------------------------------------------
 sound("std_audio_trim", lambda a: a.std.AudioTrim(first=100, last=899), sql.audio(A16, "s - 100 AS s, ch, v", "a", "s BETWEEN 100 AND 899"))
 sound("std_audio_reverse", lambda a: a.std.AudioReverse(), sql.audio(A16, f"{EVENTS} - 1 - s AS s, ch, v", "a"))
-sound("std_audio_loop", lambda a: a.std.AudioTrim(last=99).std.AudioLoop(times=4), sql.audio(A16, "s + 100 * k AS s, ch, v", "a, (SELECT unnest([0, 1, 2, 3]) AS k)", "s < 100"))
-sound("std_audio_splice", lambda a: a.std.AudioTrim(last=99) + a.std.AudioTrim(first=500, last=599), sql.audio(A16, "CASE WHEN s < 100 THEN s ELSE s - 400 END AS s, ch, v", "a", "s < 100 OR s BETWEEN 500 AND 599"))
+sound("std_audio_loop", lambda a: a.std.AudioLoop(times=4), sql.audio(A16, f"s + {EVENTS} * k AS s, ch, v", "a, (SELECT unnest([0, 1, 2, 3]) AS k)"))
+sound("std_audio_loop_endless", lambda a: a.std.AudioLoop(times=0).std.AudioTrim(first=len(a) - 5, length=len(a) + 9), sql.audio(A16, f"s + {EVENTS} * k - ({EVENTS} - 5) AS s, ch, v", "a, (SELECT unnest([0, 1, 2]) AS k)", f"s + {EVENTS} * k BETWEEN {EVENTS} - 5 AND 2 * {EVENTS} + 3"))
+sound("std_audio_splice", lambda a: a + a.std.AudioTrim(first=500), sql.audio(A16, f"s + k * ({EVENTS} - 500) AS s, ch, v", "a, (SELECT unnest([0, 1]) AS k)", "k = 0 OR s >= 500"))
 sound("std_audio_gain", lambda a: a.std.AudioGain([0.75, 3.0]), sql.audio(A16, f"s, ch, {sql.away('v * CASE ch WHEN 0 THEN 0.75::DOUBLE ELSE 3.0 END')} AS v", "a"))
 sound("std_audio_mix", lambda a: bound("std").AudioMix([a], [0.5, 0.5, 1.0, -0.25], [0, 1]), sql.audio(A16 + ", w AS (SELECT s, max(CASE ch WHEN 0 THEN v END) AS l, max(CASE ch WHEN 1 THEN v END) AS r FROM a GROUP BY s)", "s, ch, " + sql.away("CASE ch WHEN 0 THEN 0.5::DOUBLE * l + 0.5 * r ELSE 1.0::DOUBLE * l - 0.25 * r END") + " AS v", "w, (SELECT unnest([0, 1]) AS ch)"))
 sound("std_shuffle_channels", lambda a: bound("std").ShuffleChannels([a, a.std.AudioTrim(last=499)], [1, 0], [0, 1]), sql.audio(A16, "s, 1 - ch AS ch, CASE WHEN ch = 0 AND s >= 500 THEN 0 ELSE v END AS v", "a"))
@@ -185,17 +207,20 @@ sound("std_assume_sample_rate", lambda a: a.std.AssumeSampleRate(samplerate=4410
 add("std_blank_audio", lambda spark, d: heard(bound("std").BlankAudio(channels=[0], samplerate=48000, length=960, waveform="triangle", amplitude=0.5, frequency=375.0)), "SELECT CAST(s AS BIGINT) AS s, 0::BIGINT AS ch, CAST(least(greatest(sign(v) * floor(abs(v) + 0.5), -32768), 32767) AS BIGINT) AS v FROM (SELECT range AS s, (CASE WHEN range % 128 < 32 THEN range % 128 / 32.0 WHEN range % 128 < 96 THEN 2 - range % 128 / 32.0 ELSE range % 128 / 32.0 - 4 END)::DOUBLE * 0.5 * 32768 AS v FROM range(960))")
 sound("std_audio_resample_format", lambda a: a.std.AudioResample(bits=24), sql.audio(A16, "s, ch, v * 256 AS v", "a"))
 sound("std_audio_resample_mono", lambda a: a.std.AudioResample(channels=[2]), sql.audio(A16 + ", w AS (SELECT s, max(CASE ch WHEN 0 THEN v END) AS l, max(CASE ch WHEN 1 THEN v END) AS r FROM a GROUP BY s)", "s, 0 AS ch, " + sql.away("(l / 32768.0::DOUBLE * 0.5 + r / 32768.0::DOUBLE * 0.5) * 32768") + " AS v", "w"))
-sound("std_audio_resample_rate", lambda a: a.std.AudioResample(samplerate=32000), "")
+_taps = ", ".join(f"({phase}, {j - audio.sinc_taps(2, 3).shape[1] // 2 + 1}, {w!r}::DOUBLE)" for phase, row in enumerate(audio.sinc_taps(2, 3).tolist()) for j, w in enumerate(row))
+sound("std_audio_resample_rate", lambda a: a.std.AudioResample(samplerate=32000), sql.audio(A16 + f", t(phase, k, w) AS (VALUES {_taps}), m AS (SELECT range AS s, range * 3 // 2 AS place, range * 3 % 2 AS phase FROM range(({EVENTS} * 2 + 2) // 3)), r AS (SELECT m.s, c.ch, sum(coalesce(a.v, 0) / 32768.0::DOUBLE * w) AS v FROM m JOIN t USING (phase) CROSS JOIN (SELECT unnest([0, 1]) AS ch) c LEFT JOIN a ON a.s = m.place + t.k AND a.ch = c.ch GROUP BY m.s, c.ch)", "s, ch, " + sql.away("v * 32768") + " AS v", "r"))
 
 # -- control, streams, the flagship -----------------------------------------------------------------
-gray("std_cache", lambda c: c.std.Cache().std.SetVideoCache(mode=0), sql.point("v"))
-sound("std_set_audio_cache", lambda a: a.std.SetAudioCache(mode=0), sql.audio(A16, "s, ch, v", "a"))
+gray("std_cache", lambda c: c.std.Cache().std.SetVideoCache(mode=1), sql.point("v"))
+sound("std_set_audio_cache", lambda a: a.std.SetAudioCache(mode=1), sql.audio(A16, "s, ch, v", "a"))
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events' values per hour of event time."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.round(F.col("value") * 100).cast("long").alias("value"))
-    return streams.windowed_levels(events).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), *(F.col(c).cast("long").alias(c) for c in ("count", "low", "high", "total")))
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may match a file, too
+    events = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("value"))
+    return streams.drained(streams.windowed_levels(events), streams.shared(spark, "levels")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), *(F.col(c).cast("long").alias(c) for c in ("count", "low", "high", "total")))
 
 
 add("stream_windowed_levels", _streamed, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS count, min(v)::BIGINT AS low, max(v)::BIGINT AS high, sum(v)::BIGINT AS total FROM (SELECT ts, CAST(round(value * 100) AS BIGINT) AS v FROM events) GROUP BY 1")

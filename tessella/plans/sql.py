@@ -93,3 +93,11 @@ def scaled(across: list, down: list, w: int, h: int) -> str:
     base = E8 + f", tx(o, k, w) AS (VALUES {values(across)}), ty(o, k, w) AS (VALUES {values(down)})"
     base += ", hx AS (SELECT n, y, o AS x, sum(CAST(v AS DOUBLE) / 255.0 * w) AS v FROM e8 JOIN tx ON k = x GROUP BY n, y, o), hy AS (SELECT n, o AS y, x, sum(v * w) AS v FROM hx JOIN ty ON k = y GROUP BY n, x, o)"
     return video(base, "n, 0 AS plane, y, x, least(greatest(round_even(round(v * 255.0, 6), 0), 0), 255) AS v", "hy")
+
+
+def sited(across: list, down: list) -> str:
+    """Tables up to m: the first plane of y8 as a mask for each plane, chroma's scaled by tap tables."""
+    values = lambda t: ", ".join(f"({i}, {k}, {weight!r}::DOUBLE)" for i, row in enumerate(t) for k, weight in row)
+    base = f"tx(o, k, w) AS (VALUES {values(across)}), ty(o, k, w) AS (VALUES {values(down)})"
+    base += ", hx AS (SELECT n, y, o AS x, sum(CAST(v AS DOUBLE) * w) AS v FROM y8 JOIN tx ON k = x WHERE plane = 0 GROUP BY n, y, o), hy AS (SELECT n, o AS y, x, sum(v * w) AS v FROM hx JOIN ty ON k = y GROUP BY n, x, o)"
+    return base + ", m AS (SELECT n, 0 AS plane, y, x, v FROM y8 WHERE plane = 0 UNION ALL SELECT n, p, y, x, CAST(least(greatest(round_even(round(v, 6), 0), 0), 255) AS BIGINT) FROM hy, (SELECT unnest([1, 2]) AS p))"

@@ -1,11 +1,15 @@
-"""Ordered outputs. Frames come to the driver one partition at a time; bulk output is written as Parquet."""
+"""Ordered outputs. Small ones come to the driver one partition at a time; bulk output is written by all tasks, as
+Parquet or as parts of one raw stream."""
 
 from __future__ import annotations
 
+import math
 import struct
+from collections.abc import Iterator
 from typing import BinaryIO
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +46,86 @@ def write_raw(clip: Clip, out: BinaryIO, y4m: bool = False, order: tuple[int, ..
             out.write(_packed(planes[p], f.bits, f.is_float))
 
 
-def write_wav(clip: Audio, out: BinaryIO, header: bool = True) -> None:
-    """Interleaved little-endian samples, with a RIFF header for WAV."""
+def _wave_format(clip: Audio) -> tuple[int, bytes]:
+    """(bytes of samples in all, the format block of WAV and W64)."""
     i = clip.info
     size, n = (i.bits + 7) // 8, len(i.channels)
+    return len(clip) * size * n, struct.pack("<HHIIHH", 3 if i.is_float else 1, n, i.rate, i.rate * n * size, n * size, size * 8)
+
+
+def write_wav(clip: Audio, out: BinaryIO, header: bool = True) -> None:
+    """Interleaved little-endian samples, with a RIFF header for WAV."""
     if header:
-        total = len(clip) * size * n
+        total, kind = _wave_format(clip)
         need(total < 2**32 - 64, "wav: too long for a RIFF header")
-        kind = 3 if i.is_float else 1
-        out.write(b"RIFF" + struct.pack("<I", 36 + total) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, kind, n, i.rate, i.rate * n * size, n * size, size * 8) + b"data" + struct.pack("<I", total))
+        out.write(b"RIFF" + struct.pack("<I", 36 + total) + b"WAVEfmt " + struct.pack("<I", 16) + kind + b"data" + struct.pack("<I", total))
+    _write_samples(clip, out)
+
+
+def write_raw_parts(clip: Clip, path: str) -> DataFrame:
+    """The bytes of write_raw() in files path/part-*.raw, written by all tasks in the order of frames, each under a
+    name of its attempt until it's whole. Returns the parts' table (part, first, frames, offset, bytes) from
+    path/index: the files one after another, by part, are the stream, and a part begins at byte `offset` of it."""
+    info = clip.info
+    f, planes = info.format, range(info.format.planes)
+    size = sum(len(_packed([0], f.bits, f.is_float)) * math.prod(info.size(p)) for p in planes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        files, top = _filesystem(path)
+        store, first, n = None, None, 0
+        final, own = f"{top}/part-{task.partitionId():06d}.raw", f"{top}/_attempt-{task.partitionId():06d}-{task.taskAttemptId()}"
+        for batch in batches:
+            if store is None:
+                files.create_dir(top, recursive=True)
+                store, first = files.open_output_stream(own), batch.column(0)[0].as_py()
+            for k in range(batch.num_rows):
+                for p in planes:
+                    store.write(_packed(batch.column(1 + p)[k].values.to_numpy(), f.bits, f.is_float))
+            n += batch.num_rows
+        if store is not None:
+            store.close()
+            files.move(own, final)
+            cols = [pa.array([x], kind) for x, kind in ((task.partitionId(), pa.int32()), (first, pa.int64()), (n, pa.int64()), (first * size, pa.int64()), (n * size, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["part", "first", "frames", "offset", "bytes"])
+
+    rows = clip.frames.groupBy("n").agg(*(F.max(F.when(F.col("plane") == p, F.col("data"))).alias(f"p{p}") for p in planes))
+    parts = int(clip.spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "part int, first long, frames long, offset long, bytes long"
+    rows.repartitionByRange(parts, "n").sortWithinPartitions("n").mapInArrow(run, kinds).write.parquet(f"{path}/index")
+    return clip.spark.read.schema(kinds).parquet(f"{path}/index").orderBy("part")
+
+
+def _filesystem(path: str):
+    """(file system, path in it) for local and remote URIs."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+#: How the identifiers of Wave64 blocks end, the file's own and the others'. Fixed values.
+_W64_FILE = bytes.fromhex("2e91cf11a5d628db04c10000")
+_W64_BLOCK = bytes.fromhex("f3acd3118cd100c04f8edb8a")
+
+
+def write_w64(clip: Audio, out: BinaryIO) -> None:
+    """As write_wav, with 64-bit sizes, which count each block's own 24 bytes of identifier and size."""
+    total, kind = _wave_format(clip)
+    pad = -total % 8
+    form = b"fmt " + _W64_BLOCK + struct.pack("<Q", 24 + len(kind)) + kind
+    data = b"data" + _W64_BLOCK + struct.pack("<Q", 24 + total)
+    out.write(b"riff" + _W64_FILE + struct.pack("<Q", 40 + len(form) + len(data) + total + pad) + b"wave" + _W64_BLOCK + form + data)
+    _write_samples(clip, out)
+    out.write(bytes(pad))
+
+
+def _write_samples(clip: Audio, out: BinaryIO) -> None:
+    i = clip.info
+    size = (i.bits + 7) // 8
     for r in clip.rows.orderBy("s").toLocalIterator(prefetchPartitions=True):
         v = np.asarray(r.v)
         if i.is_float:
@@ -62,17 +137,21 @@ def write_wav(clip: Audio, out: BinaryIO, header: bool = True) -> None:
 
 
 def timecodes(clip: Clip) -> DataFrame:
-    """(n, ms): when each frame begins, from the durations before it. Sums run within blocks, then over blocks."""
+    """(n, ms): when each frame begins, from the durations before it. Sums run within blocks, within blocks of
+    blocks, and over those."""
     num = F.get(F.col("props").getItem("_DurationNum")["i"], 0)
     den = F.get(F.col("props").getItem("_DurationDen")["i"], 0)
     good = (num > 0) & (den > 0)
     ms = F.when(good, num * 1000.0 / den).otherwise(F.raise_error(F.lit("a frame without a duration")).cast("double"))
     rows = clip.props.select("n", F.floor(F.col("n") / HALO).alias("block"), ms.alias("ms"))
-    before = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("block").agg(F.sum("ms").alias("all"))  # a row for each HALO frames
-    starts = sums.select(F.col("block").alias("of"), F.coalesce(F.sum("all").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))
-    placed = rows.withColumn("own", F.coalesce(F.sum("ms").over(before), F.lit(0.0)))
-    return placed.join(starts, F.col("block") == F.col("of")).select("n", (F.col("base") + F.col("own")).alias("ms"))
+    first = rows.groupBy("block").agg(F.sum("ms").alias("all"))
+    second = first.groupBy(F.floor(F.col("block") / HALO).alias("group")).agg(F.sum("all").alias("all"))  # a row for each HALO^2 frames
+    earlier = lambda window, c="all": F.coalesce(F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    second = second.select("group", earlier(Window.orderBy("group")).alias("base"))
+    first = first.withColumn("group", F.floor(F.col("block") / HALO)).withColumn("own", earlier(Window.partitionBy("group").orderBy("block")))
+    starts = first.join(second, "group").select("block", (F.col("base") + F.col("own")).alias("base"))
+    placed = rows.withColumn("own", earlier(Window.partitionBy("block").orderBy("n"), "ms"))
+    return placed.join(starts, "block").select("n", (F.col("base") + F.col("own")).alias("ms"))
 
 
 def props_json(clip: Clip) -> DataFrame:
