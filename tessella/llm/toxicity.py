@@ -14,7 +14,8 @@ of the chain from words.
 
 A toxic text is ordinary text with a share SHARE of toxic wording, so its model is the mixture of both.
 The score is the length-normalised log-likelihood ratio of that mixture to the ordinary model, over the
-whole text and over the NEAR consecutive words where it is highest, through a logistic curve fitted on
+whole text and over the PASSAGE and the NEAR consecutive words where it is highest (so that a passage
+counts wherever it stands in a long text), through a logistic curve fitted on
 labelled rows that the counts don't use. A missed toxic document counts as COST false alarms there.
 
 Bounds: at most `per_class` labelled documents of each class, and of these at most SAMPLE_BYTES of text a
@@ -44,7 +45,7 @@ from tessella.llm import words as W
 
 PER_CLASS, SAMPLE_BYTES = 3000, 8 << 20
 BITS, CHUNK = 20, 1 << 21
-BIGRAM, SHARE, NEAR, COST, FOLDS = 0.1, 0.003, 4, 3.0, 5
+BIGRAM, SHARE, NEAR, PASSAGE, COST, FOLDS = 0.1, 0.003, 4, 64, 3.0, 5
 _START = np.uint64(0x5EED)
 
 
@@ -140,21 +141,24 @@ class Model:
         return out
 
     def features(self, batch: pa.RecordBatch) -> np.ndarray:
-        """(1, mean gain of the text, the highest of NEAR words in a row) of each text."""
+        """(1, mean gain of the text, the highest of PASSAGE and of NEAR words in a row) of each text."""
         got, before, h = _grams(batch)
         total = np.concatenate([[0.0], np.cumsum(self.gains(before, h))])
-        n = got.counts
+        n, doc = got.counts, got.doc()
         whole = total[got.first[1:]] - total[got.first[:-1]]
-        best = whole / NEAR
-        if len(h) >= NEAR:
-            near = (total[NEAR:] - total[:-NEAR]) / NEAR
-            doc = got.doc()
-            at = np.flatnonzero(doc[: len(near)] == doc[NEAR - 1 :])
-            own = doc[at]
-            head = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else own
-            if len(head):
-                best[own[head]] = np.maximum.reduceat(near[at], head)
-        return np.stack([np.ones(len(n)), whole / (n + 2 * NEAR), best], 1)  # a few words prove little
+
+        def highest(width: int) -> np.ndarray:
+            best = whole / width
+            if len(h) >= width:
+                near = (total[width:] - total[:-width]) / width
+                at = np.flatnonzero(doc[: len(near)] == doc[width - 1 :])
+                own = doc[at]
+                head = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else own
+                if len(head):
+                    best[own[head]] = np.maximum.reduceat(near[at], head)
+            return best
+
+        return np.stack([np.ones(len(n)), whole / (n + 2 * NEAR), highest(PASSAGE), highest(NEAR)], 1)  # a few words prove little
 
     def score(self, batch: pa.RecordBatch, weights: np.ndarray | None) -> np.ndarray:
         if weights is None:

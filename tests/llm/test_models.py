@@ -165,10 +165,13 @@ def test_toxicity_counts_every_occurrence():
     alone = np.log1p(toxicity.SHARE * -0.5)
     gain = [double.get(pair, alone) for pair in zip([None, *said], said, strict=False)]
     near = toxicity.NEAR
-    _, mean, best = model.features(batch(" ".join(said)))[0]
+    _, mean, passage, best = model.features(batch(" ".join(said)))[0]
     assert abs(mean - sum(gain) / (len(said) + 2 * near)) < 1e-9
     assert abs(best - max(sum(gain[i : i + near]) / near for i in range(len(said) - near + 1))) < 1e-9 and best > 1.9
-    assert model.features(batch("")).tolist() == [[1, 0, 0]]
+    assert abs(passage - sum(gain) / toxicity.PASSAGE) < 1e-9
+    late = model.features(batch(" ".join(["z"] * 5000 + said + ["z"] * 3)))[0]
+    assert late[1] < mean / 50 and late[2] > 0.9 * passage and late[3] > 0.9 * best
+    assert model.features(batch("")).tolist() == [[1, 0, 0, 0]]
 
 
 def _said(spark):
@@ -239,7 +242,7 @@ def test_every_language_has_a_reference(spark, monkeypatch):
 def test_toxicity_finds_late_passages(spark):
     """Expressions of one class count wherever they stand, in short and in very long texts."""
     rng = np.random.default_rng(4)
-    say = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 20_000, n))
+    say = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 2000, n))
     texts = [(i, f"{say(60)} {'nasty vile wretch' if i % 4 == 0 else 'kind calm friend'} {say(60)}") for i in range(400)]
     texts += [(1000, f"{say(30_000)} nasty vile wretch {say(20)} nasty vile wretch"), (1001, say(30_000)), (1002, say(40)), (1003, f"{say(20)} nasty vile wretch")]
     frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
