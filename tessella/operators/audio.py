@@ -182,8 +182,11 @@ def audio_resample(clip: Audio, samplerate=None, sampletype=None, bits=None, cha
     sample = sampletype if sampletype is not None else old.sample
     depth = bits or (32 if sample == FLOAT and old.sample != FLOAT else 16 if sample != FLOAT and old.sample == FLOAT else old.bits)
     rate = samplerate or old.rate
-    wide = clip.rows.select("s", F.transform("v", lambda v: v.cast("double") / (1.0 if old.is_float else float(1 << old.bits - 1))).alias("v"))
     ids = tuple(sorted(channels)) if channels else old.channels
+    if not overflow_error and INTEGER == sample == old.sample and depth >= old.bits and (rate, ids) == (old.rate, old.channels):
+        # only more bits: exact, so nothing is rounded or held in range
+        return clip.but(old.but(bits=depth), clip.rows.select("s", F.transform("v", lambda v: v.cast("long") * (1 << depth - old.bits)).alias("v")) if depth > old.bits else clip.rows)
+    wide = clip.rows.select("s", F.transform("v", lambda v: v.cast("double") / (1.0 if old.is_float else float(1 << old.bits - 1))).alias("v"))
     if ids != old.channels:
         weights = fold(old.channels, ids)
         most = max(sum(abs(w) for w in row) for row in weights)

@@ -131,6 +131,17 @@ def test_endless_loops_are_taken_by_range(spark):
     assert many.frames.select("n").distinct().count() == 15000
 
 
+def test_widened_samples_keep_their_values(spark, tmp_path):
+    """Ids far beyond those of the small tables: samples that don't fit 16 bits, and not 32 bits once widened."""
+    events = [(0, 0.5, 0), (1, 490.0, 238), (2, 560.0, 239), (3, 12.5, 1499), (4, 0.0, 89999)]
+    spark.createDataFrame(events, "event_id long, value double, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = duckdb.connect()
+    found.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    rows = catalog.QUERIES["std_audio_resample_format"](spark, str(tmp_path)).select("s", "ch", "v").collect()
+    assert sorted(map(tuple, rows)) == sorted(found.execute(f"SELECT s, ch, v FROM ({catalog.ORACLES['std_audio_resample_format']})").fetchall())
+    assert (4, 1, (89999 - 75) * 200 * 256) in map(tuple, rows)
+
+
 def test_wave64(spark):
     audio = registry.bound("std").BlankAudio(channels=[0, 1], samplerate=8000, length=40, waveform="square", amplitude=0.5)
     plain, wide, riff = io.BytesIO(), io.BytesIO(), io.BytesIO()
