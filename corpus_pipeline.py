@@ -32,13 +32,18 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     has the smallest hash, and one of equal ones. Rows without words or without a doc_id stay."""
     found = ngram_jaccard.near_duplicates(spark, docs).where("doc_id IS NOT NULL")
     number, text, copies = (W.free(docs.columns, x) for x in ("keep_id", "keep_text", "keep_copies"))
+    # rows without words are a group each, and their copies all stay
     each = found.groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"), "doc_id", "tx").agg(F.count(F.lit(1)).alias("n"))
-    least = each.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("doc_id", "tx", "n")).alias("r"))
-    keep = least.select("r.doc_id", "r.tx", "r.n").unionByName(each.where("component_id IS NULL").select("doc_id", "tx", F.lit(0).alias("n"))).toDF(number, text, copies)
+    alone = F.when(F.col("component_id").isNull(), F.struct("doc_id", "tx"))
+    least = each.groupBy("component_id", alone.alias("alone")).agg(F.min(F.struct("doc_id", "tx", "n")).alias("r"))
+    # a checkpoint, so that the plan of the next join is not the whole search's, once for each use
+    keep = least.select("r.doc_id", "r.tx", F.when(F.col("component_id").isNull(), 0).otherwise(F.col("r.n"))).toDF(number, text, copies).checkpoint()
     mine = docs.withColumns({number: F.col("doc_id").cast("long"), text: F.xxhash64(F.coalesce("text", F.lit("")))})
-    held = mine.join(keep, [number, text])
-    once = held.where(F.col(copies) > 1).dropDuplicates([number, text])
-    return held.where(F.col(copies) <= 1).unionByName(once).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    out = mine.join(keep.where(F.col(copies) <= 1), [number, text])
+    repeated = keep.where(F.col(copies) > 1)
+    if not repeated.isEmpty():
+        out = out.unionByName(mine.join(repeated, [number, text]).dropDuplicates([number, text]))
+    return out.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

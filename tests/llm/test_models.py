@@ -260,3 +260,9 @@ def test_near_duplicates_are_decided_by_row(spark):
     frame = spark.createDataFrame(table, "doc_id long, text string")
     got = Counter(map(tuple, corpus_pipeline.without_near_duplicates(spark, frame, SF).collect()))
     assert got == Counter([(3, say("x")), (9, say("y")), (4, ""), (5, None), (4, ""), (None, say("x")), (2, say("z") + " end")])
+
+
+def test_near_duplicates_leave_a_short_plan(spark):
+    """What is returned joins the rows with those kept; the search is not planned again, for each of its uses."""
+    out = corpus_pipeline.without_near_duplicates(spark, docs(spark), SF)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2
