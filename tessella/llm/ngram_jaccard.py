@@ -272,11 +272,44 @@ def verified(pairs: DataFrame, docs: DataFrame, gram: int = GRAM) -> DataFrame:
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, the smallest id that a[i] - b[i] connect each with)."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        for to in (label[x], label[y]):
+            np.minimum.at(label, to, low)
+        while (label[label] != label).any():
+            label = label[label]
+    return ids, ids[label]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links a - b as (cls, other) in both directions; each FLUSH of them as stars around their smallest class."""
+
+    def told(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, low = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        ids, low = ids[ids != low], low[ids != low]
+        return pa.RecordBatch.from_arrays([pa.array(np.append(ids, low)), pa.array(np.append(low, ids))], ["cls", "other"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(tuple(W.column(batch, k).to_numpy() for k in ("a", "b")))
+        size += batch.num_rows
+        if size > FLUSH:
+            yield told(held)
+            held, size = [], 0
+    if size:
+        yield told(held)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(cls, root) for every class with a link: the smallest class reachable. Labels move along links and
-    then jump to their label's label, with a checkpoint for each round."""
-    both = links.select("a", "b").union(links.select("b", "a")).distinct().toDF("cls", "other").checkpoint()
-    at = both.select("cls").distinct().withColumn("root", F.col("cls"))
+    """(cls, root) for every class with a link: the smallest class reachable. The links that a task holds become stars
+    first; few links are few tasks, so that little is left to do between them. Then labels move along links and
+    jump to their label's label, with checkpoints for each round."""
+    both = links.select("a", "b").hint("rebalance", "a").mapInArrow(_contracted, "cls long, other long").distinct().checkpoint()
+    at = both.groupBy("cls").agg(F.least(F.col("cls"), F.min("other")).alias("root"))
     while True:
         least = both.join(at.select(F.col("cls").alias("other"), "root"), "other").groupBy("cls").agg(F.min("root").alias("seen"))
         moved = at.join(least, "cls").select("cls", F.least("root", "seen").alias("to"), "root").checkpoint()
@@ -299,7 +332,7 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, gram:
     place = W.shared(spark, "postings")
     candidates(spark, docs, gram).write.parquet(place)
     members = spark.read.schema("sig long, cls long, n int, rare int").parquet(place)
-    links, roots = None, None
+    roots = None
     for turn in range(hubs + 1):
         at = members.withColumn("root", F.col("cls")) if roots is None else members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         # the hub: first the class with the least share of rare tokens, then others by chance, one of each component
@@ -324,8 +357,7 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, gram:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = verified(_close_enough(pairs, classes).checkpoint(), docs, gram).checkpoint()
         if roots is None or not new.isEmpty():
-            links = new if links is None else links.union(new)
-            roots = components(links)
+            roots = components(new if roots is None else new.union(roots.where("cls <> root").select("root", "cls")))
     W.remove(spark, place)
     return roots
 

@@ -142,6 +142,21 @@ def test_ngram_jaccard(spark):
     assert ngram_jaccard.near_duplicates(spark, nothing(spark)).count() == 0
 
 
+@pytest.mark.parametrize("flush", [ngram_jaccard.FLUSH, 7])
+def test_components_take_few_rounds(spark, monkeypatch, flush):
+    """A long chain, a star and a pair: the links a task holds are contracted first, however few it holds at a time."""
+    monkeypatch.setattr(ngram_jaccard, "FLUSH", flush)
+    W.shared(spark, "")
+    turn = [(i * 37) % 101 - 50 for i in range(101)]
+    links = [*zip(turn, turn[1:], strict=False), *((1000 + i, 2000) for i in range(50)), (1 << 62, -(1 << 62)), (2000, 1000)]
+    frame, kind = spark.createDataFrame(links, "a long, b long"), type(spark.range(0))
+    rounds, checkpoint = [], kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *x: rounds.append(1) or checkpoint(self, *x))
+    got = {r.cls: r.root for r in ngram_jaccard.components(frame).collect()}
+    assert got == {x: -50 for x in turn} | {x: 1000 for x in [*range(1000, 1050), 2000]} | {x: -(1 << 62) for x in (1 << 62, -(1 << 62))}
+    assert flush == 7 or len(rounds) <= 3
+
+
 def test_ngram_jaccard_with_common_tokens(spark, monkeypatch):
     """Many near copies of one text: its shingles are frequent, so combinations are what links them."""
     monkeypatch.setattr(ngram_jaccard, "SHORT", 3)
